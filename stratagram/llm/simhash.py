@@ -45,6 +45,9 @@ PARITY = 4
 HOT = 20_000
 #: Up to so many copies at an anchor all pairs are compared at once; beyond it one home at a time.
 SMALL = 64
+#: Texts that are Python objects at a time, and pairs that are compared at a time.
+AT_ONCE = 256
+PAIRS_AT_ONCE = 1 << 19
 
 # ---------------------------------------------------------------- fingerprints
 
@@ -71,8 +74,12 @@ def fingerprint(raw: bytes, shingle: int = SHINGLE) -> int:
 def _fingerprints(shingle):
     def run(batches):
         for b in batches:
-            fps = np.fromiter((fingerprint(raw or b"", shingle) for raw in b.column(1).cast(pa.binary()).to_pylist()), dtype=np.uint64, count=b.num_rows)
+            texts, fps = b.column(1).cast(pa.binary()), np.zeros(b.num_rows, dtype=np.uint64)
+            for at in range(0, b.num_rows, AT_ONCE):
+                fps[at : at + AT_ONCE] = [fingerprint(raw or b"", shingle) for raw in texts.slice(at, AT_ONCE).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fps.view(np.int64))], names=["doc_id", "rid", "fp"])
+            del b, texts
+            pa.default_memory_pool().release_unused()
 
     return run
 
@@ -155,7 +162,7 @@ def _links(threshold, small):
         a, b = [], []
         row_begin, row_size = np.repeat(begin, size), np.repeat(size, size)
         h = np.flatnonzero(home & (row_size > 1) & (row_size <= small))
-        step = max(1, (1 << 21) // small)
+        step = max(1, PAIRS_AT_ONCE // small)
         for at in range(0, len(h), step):
             hs = h[at : at + step]
             n = row_size[hs]
