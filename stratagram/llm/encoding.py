@@ -14,11 +14,9 @@ import os
 import re
 from array import array
 
-import numpy as np
-
 VOCABULARY = "word_bpe_49k.json"
 #: Pieces a worker remembers; beyond it the memory starts anew.  Results don't depend on it.
-REMEMBERED = 600_000
+REMEMBERED = 800_000
 #: Longer pieces aren't remembered.
 LONGEST_REMEMBERED = 64
 
@@ -33,8 +31,20 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 #: has a one-character lower case and composes with no other.  Other texts go piece by piece.
 _SIMPLE = re.compile(r"[\t\n\r -~À-ÖØ-öø-ÿ]*").fullmatch
 _WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\t\n\r a-z0-9ß-öø-ÿ]+").findall
-#: Words handed to the library as one blank-separated text.
-_AT_ONCE = 200
+
+
+class _Remembered(dict):
+    """piece -> ids as bytes; ``learn`` says what an unknown piece's are."""
+
+    def __init__(self, learn):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.learn(piece)
+        if len(piece) <= LONGEST_REMEMBERED:
+            self[piece] = ids
+        return ids
 
 
 class Encoder:
@@ -46,55 +56,31 @@ class Encoder:
 
         self.path = path or vocabulary_path()
         self.tokenizer = Tokenizer.from_file(self.path)
-        self.known: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
-        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
-
-    def _library(self, pieces: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-
-    def _learn_words(self, fresh: list[str]) -> None:
-        """Each word ends in exactly one word-end id, so joined words come apart again."""
-        blocks = [fresh[i : i + _AT_ONCE] for i in range(0, len(fresh), _AT_ONCE)]
-        encoded = self.tokenizer.encode_batch_fast([" ".join(b) for b in blocks], add_special_tokens=False)
-        for block, e in zip(blocks, encoded):
-            ids = np.array(e.ids, dtype="<u4")
-            cuts = (np.flatnonzero(self.ends[np.minimum(ids, len(self.ends) - 1)]) + 1) * 4
-            if len(cuts) != len(block):
-                self.words.update(zip(block, self._library(block)))
-                continue
-            raw, at = ids.tobytes(), 0
-            for word, cut in zip(block, cuts.tolist()):
-                self.words[word] = raw[at:cut]
-                at = cut
-
-    def _join(self, known: dict[str, bytes], split: list[list[str]], learn) -> list[bytes]:
-        missing = set().union(*split).difference(known)
-        if missing:
-            if len(known) + len(missing) > REMEMBERED:
-                keep = {p: known[p] for p in set().union(*split).difference(missing)}
-                known.clear()
-                known.update(keep)
-            learn(list(missing))
-        out = [b"".join(map(known.__getitem__, pieces)) for pieces in split]
-        for p in missing:
-            if len(p) > LONGEST_REMEMBERED:
-                del known[p]
-        return out
+        model, encode = self.tokenizer.model, self.tokenizer.encode
+
+        def library(piece: str) -> bytes:
+            return array("I", encode(piece, add_special_tokens=False).ids).tobytes()
+
+        def word(w: str) -> bytes:
+            # A word of ASCII is its own spelling in the vocabulary's byte alphabet.
+            return array("I", [t.id for t in model.tokenize(w)]).tobytes() if w.isascii() else library(w)
+
+        self.words, self.pieces = _Remembered(word), _Remembered(library)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; null counts as empty."""
-        texts = [t or "" for t in texts]
-        simple = [i for i, t in enumerate(texts) if _SIMPLE(t) and "<|" not in t]
-        out: list = [None] * len(texts)
-        for i, ids in zip(simple, self._join(self.words, [_WORDS(texts[i].lower()) for i in simple], self._learn_words)):
-            out[i] = ids
-        rest = [i for i, ids in enumerate(out) if ids is None]
-        split = [texts[i].replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for i in rest]
-        for i, ids in zip(rest, self._join(self.known, split, lambda ps: self.known.update(zip(ps, self._library(ps))))):
-            out[i] = ids
+        for known in (self.words, self.pieces):
+            if len(known) > REMEMBERED:
+                known.clear()
+        word, piece = self.words.__getitem__, self.pieces.__getitem__
+        out = []
+        for text in texts:
+            if not text:
+                out.append(b"")
+            elif _SIMPLE(text) and "<|" not in text:
+                out.append(b"".join(map(word, _WORDS(text.lower()))))
+            else:
+                out.append(b"".join(map(piece, filter(None, text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")))))
         return out
 
 
