@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents_only, id_remainder, table
+from .common import WorkFolder, documents_only, id_remainder, table
 
 SAMPLE_ROWS = 2000
 VOCABULARY = 150_000
@@ -160,6 +160,7 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, vocabulary: int = V
     sample = rows.where(draw < share[F.col("lang")]).select("lang", "text")
     counts = sample.mapInArrow(_count, "lang string, kind int, term string, n long").groupBy("kind", "term", "lang").agg(F.sum("n").alias("n"))
     terms = counts.groupBy("kind", "term").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by")).where(F.col("n") >= LEAST)
+    terms = WorkFolder(labelled.sparkSession, "language").materialise(terms, "terms")  # of the sample alone
     known = []
     for kind in (0, 1):  # at most ``vocabulary`` rows each
         top = terms.where(F.col("kind") == kind).orderBy(F.desc("n"), "term").limit(vocabulary)
