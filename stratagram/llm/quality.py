@@ -6,7 +6,7 @@ vectors over the whole corpus.  Words are hashed into ``BUCKETS`` buckets, so
 the table of vectors has a fixed size however large the corpus; each task adds
 up its own and the sums are added by key.  A document is the frequency-weighted
 mean of its words' vectors beside the mean of its marks' vectors (shapes of
-words, a word said twice running, a line said again).  A two-layer numpy
+words, a word said twice running or with one between, a line said again).  A two-layer numpy
 network gives the probability of label 1; a temperature fitted on rows that it
 wasn't trained on calibrates it.
 
@@ -49,8 +49,8 @@ REMEMBERED = 400_000
 _TOKENS = re.compile(r"\w+|[^\w\s]+").findall
 _SHAPE_BITS = 20
 SHAPES = 16
-_AGAIN, _LINE = SHAPES, SHAPES + 1
-MARKS = SHAPES + 2
+_AGAIN, _LINE, _AFTER_ONE = SHAPES, SHAPES + 1, SHAPES + 2
+MARKS = SHAPES + 3
 
 
 def shape(token: str) -> int:
@@ -121,43 +121,33 @@ def _contexts(batches):
         yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["chunk", "sums"])
 
 
-def _added(batches):
-    """Rows of any order -> one row a chunk; memory for the table at most."""
-    total: dict[int, np.ndarray] = {}
-    for b in batches:
-        for chunk, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            v = np.frombuffer(raw, "<f4").astype(np.float64)
-            total[chunk] = total[chunk] + v if chunk in total else v
-    if total:
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.astype("<f8").tobytes() for v in total.values()], pa.binary())], names=["chunk", "sums"])
+def _adder(kind: str):
+    """Rows of any order, numbers of ``kind`` -> one row a chunk, doubles; memory for the table at most."""
+
+    def run(batches):
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for chunk, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                v = np.frombuffer(raw, kind).astype(np.float64)
+                total[chunk] = total[chunk] + v if chunk in total else v
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.astype("<f8").tobytes() for v in total.values()], pa.binary())], names=["chunk", "sums"])
+
+    return run
 
 
 def word_vectors(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """(vectors, weights) by bucket, from all documents.  The table's size is fixed: BUCKETS rows."""
     schema = "chunk int, sums binary"
-    parts = docs.select(docs["text"]).mapInArrow(_contexts, schema)
-    # Sums of sums: neighbouring tasks first, so that no task adds up those of all.
-    some = parts.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(64))).repartition("chunk", "salt").select("chunk", "sums").mapInArrow(_added, schema)
+    parts = docs.select(docs["text"]).mapInArrow(_contexts, schema).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(64)))
+    # In two steps, so that no task adds up the sums of all tasks.
+    some = parts.repartition("chunk", "salt").select("chunk", "sums").mapInArrow(_adder("<f4"), schema)
     sums = np.zeros((BUCKETS, DIMENSIONS + 1))
-    for r in _exact(some.repartition("chunk").mapInArrow(_added_exact, schema)):
+    for r in some.repartition("chunk").mapInArrow(_adder("<f8"), schema).collect():  # BUCKETS / CHUNK rows
         sums[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["sums"], "<f8").reshape(CHUNK, -1)
     return finish_vectors(sums)
 
 
-def _added_exact(batches):
-    total: dict[int, np.ndarray] = {}
-    for b in batches:
-        for chunk, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            v = np.frombuffer(raw, "<f8")
-            total[chunk] = total[chunk] + v if chunk in total else v
-    if total:
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["chunk", "sums"])
-
-
-def _exact(df: DataFrame) -> list:
-    return df.collect()  # BUCKETS / CHUNK rows
-
-
 def finish_vectors(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     counts, contexts = sums[:, 0], sums[:, 1:]
     total = max(1.0, counts.sum())
@@ -184,6 +174,7 @@ def pool(texts: list[str | None], vectors: np.ndarray, weights: np.ndarray, know
         share = np.zeros(MARKS, dtype=np.float32)
         share[:SHAPES] = np.bincount(codes >> _SHAPE_BITS, minlength=SHAPES) / len(codes)
         share[_AGAIN] = np.count_nonzero(codes[1:] == codes[:-1]) / len(codes)
+        share[_AFTER_ONE] = np.count_nonzero((codes[2:] == codes[:-2]) & (codes[2:] != codes[1:-1])) / len(codes)
         lines = text.split("\n")
         share[_LINE] = 1 - len(set(lines)) / len(lines)
         out[i, DIMENSIONS:] = share @ marks
@@ -246,7 +237,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> C
     # At most sample_rows pairs.
     picked = spark.createDataFrame([tuple(r) for r in first.collect()], "id long, quality int")
     b = spark.sparkContext.broadcast((vectors, weights))
-    rows = documents_only(docs, "doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("id")).select("doc_id", "quality", "text")
+    rows = documents_only(docs, "doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("id")).groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
 
     def run(batches):
         known = _Codes()
@@ -254,7 +245,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> C
             x = pool(batch.column(2).to_pylist(), *b.value, known)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "quality", "x"])
 
-    got = sorted(tuple(r) for r in rows.mapInArrow(run, "doc_id long, quality int, x binary").collect())[: 2 * sample_rows]
+    got = sorted(tuple(r) for r in rows.mapInArrow(run, "doc_id long, quality int, x binary").collect())
     x = np.array([np.frombuffer(r[2], np.float32) for r in got], dtype=np.float64).reshape(len(got), 2 * DIMENSIONS)
     y = np.array([r[1] == 1 for r in got], dtype=np.float64)
     apart = np.array([zlib.crc32(f"apart {r[0]}".encode()) % 5 == 0 for r in got], dtype=bool)
