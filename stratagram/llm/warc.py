@@ -34,8 +34,10 @@ from pyspark.sql import functions as F
 from .common import WorkFolder, documents_only, shuffle_parts, table
 
 REVISIT_BYTES = 1000
-#: Records that one reading task takes at a time from an index.
-READ_AT_ONCE = 512
+#: Bytes of an archive whose records are read by one task.
+READ_BYTES = 64 << 20
+#: Records that such a task holds at a time.
+READ_AT_ONCE = 256
 _CHUNK = 1 << 18
 _DATE = "2024-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -199,36 +201,48 @@ def read_index(spark: SparkSession, folder: str) -> DataFrame:
     return lines.select("file", parts[0].cast("long").alias("offset"), parts[1].cast("long").alias("length"), parts[2].alias("record_id"))
 
 
+def _row(raw: bytes) -> tuple:
+    """One record as a row; its payload must match its digest."""
+    warc, http, payload = parse_record(raw)
+    revisit = warc["warc-type"] == "revisit"
+    digest = base64.b32decode(warc["warc-payload-digest"].removeprefix("sha1:")).hex()
+    if not revisit and hashlib.sha1(payload).hexdigest() != digest:
+        raise ValueError("the payload doesn't match its digest")
+    number = lambda k: int(warc[k]) if warc.get(k) else None
+    url = re.sub(r"%([0-9A-F]{2})", lambda m: chr(int(m[1], 16)), warc["warc-target-uri"])
+    return number("x-page-id"), url, warc["warc-type"], int(http["content-length"]) if revisit else len(payload), digest, number("x-refers-to-page-id"), payload
+
+
 _READ = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long"
 
 
 def read_records(index: DataFrame, with_payload: bool = False) -> DataFrame:
     """Records read by their index, with size and digest of the full payload (and the payload)."""
 
+    names = ["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", "payload"][: 6 + with_payload]
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()][: 6 + with_payload]
+
     def run(batches):
         opened, stream = None, None
         for batch in batches:
-            out = []
-            for file, offset, length in zip(*[c.to_pylist() for c in batch.columns]):
-                if file != opened:
-                    if stream:
-                        stream.close()
-                    fs, at = _fs(file)
-                    opened, stream = file, fs.open_input_file(at)
-                warc, http, payload = parse_record(zlib.decompress(stream.read_at(length, offset), 31))
-                revisit = warc["warc-type"] == "revisit"
-                digest = base64.b32decode(warc["warc-payload-digest"].removeprefix("sha1:")).hex()
-                if not revisit and hashlib.sha1(payload).hexdigest() != digest:
-                    raise ValueError(f"{file}: the payload at {offset} doesn't match its digest")
-                number = lambda k: int(warc[k]) if warc.get(k) else None
-                out.append((number("x-page-id"), re.sub(r"%([0-9A-F]{2})", lambda m: chr(int(m[1], 16)), warc["warc-target-uri"]), warc["warc-type"], int(http["content-length"]) if revisit else len(payload), digest, number("x-refers-to-page-id"), payload))
-            if out:
-                kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()][: 6 + with_payload]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", "payload"][: 6 + with_payload])
+            for at in range(0, batch.num_rows, READ_AT_ONCE):
+                out = []
+                for file, offset, length in zip(*[c.to_pylist() for c in batch.slice(at, READ_AT_ONCE).columns]):
+                    if file != opened:
+                        if stream:
+                            stream.close()
+                        fs, path = _fs(file)
+                        opened, stream = file, fs.open_input_file(path)
+                    try:
+                        out.append(_row(zlib.decompress(stream.read_at(length, offset), 31))[: 6 + with_payload])
+                    except ValueError as e:
+                        raise ValueError(f"{file} at {offset}: {e}") from e
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
         if stream:
             stream.close()
 
-    return index.select("file", "offset", "length").mapInArrow(run, _READ + ", payload binary" * with_payload)
+    dealt = index.select("file", "offset", "length").repartition(shuffle_parts(index.sparkSession), F.col("file"), F.floor(F.col("offset") / READ_BYTES))
+    return dealt.sortWithinPartitions("file", "offset").mapInArrow(run, _READ + ", payload binary" * with_payload)
 
 
 def with_revisits(pages: DataFrame) -> DataFrame:

@@ -265,8 +265,8 @@ def test_simhash_chains_and_hot_anchors(spark):
     signed = [x - (1 << 64) if x >= 1 << 63 else x for x in fps]
     folder = WorkFolder(spark, "test")
     frame = folder.materialise(spark.createDataFrame([(x,) for x in signed], "fp long"), "fps")
-    for hot, small in ((20_000, 64), (50, 8)):
-        roots = {r["node"]: r["root"] for r in simhash.components(simhash.links(frame, hot=hot, small=small), folder).collect()}
+    for hot, small, blocks in ((20_000, 64, 3), (50, 8, 3), (20_000, 64, 2)):
+        roots = {r["node"]: r["root"] for r in simhash.components(simhash.links(frame, hot=hot, small=small, blocks=blocks), folder).collect()}
         groups = defaultdict(set)
         for x, n in zip(signed, number):
             groups[n].add(x)
