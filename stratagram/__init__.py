@@ -16,11 +16,12 @@ _WHERE = {
     "operators.kernels.lmm": ("Singular",),
     "operators.model": ("ConfidenceIntervals", "FittedModel"),
     "operators.linear": ("PreparedLmer", "design_table", "fit_prepared", "lm", "lm_matrix", "lmer", "lmer_weighted", "prepare_lmer", "refit_lmer"),
-    "operators.distributed": ("lmer_distributed", "ranef_distributed"),
+    "operators.distributed": ("glmer_distributed", "lmer_distributed", "ranef_distributed"),
     "operators.generalized": ("PreparedGlmer", "fit_prepared_glmer", "glmer", "glmer_weighted", "glmer_with_link", "prepare_glmer"),
     "operators.nonlinear": ("nlmer", "nlmer_with_mean", "nlmer_with_options", "nls_by_key", "parse_nlmer"),
     "operators.inference": ("anova", "contrast_matrix", "contrast_matrix_from_names"),
     "operators.comparisons": ("adjust_p", "mcp_contrast_matrix"),
+    "operators.timing": ("phase", "report"),
     "operators.resample": ("boot", "boot_glmer", "boot_lmer", "cv_grouped", "cv_grouped_glmer", "simulate"),
     "sources.tables": ("from_frame", "load_model", "read_table", "save_model"),
     "streaming.running": ("RunningModel", "score_stream"),

@@ -120,3 +120,127 @@ def ranef_distributed(model: FittedModel) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(v[:, j]) for j in range(k)]], names=["group", *[f"b{j}" for j in range(k)]])
 
     return sums.mapInArrow(run, "group string, " + ", ".join(f"b{j} double" for j in range(k)))
+
+
+# ------------------------------------------------------- generalized models
+
+
+def parabola(f, start: float, tol: float = 1e-5, most: int = 40) -> tuple[float, float]:
+    """Least f over (0, inf) in few evaluations: brackets on the log scale, then parabolas through the best three."""
+    seen: dict[float, float] = {}
+
+    def g(u):
+        if u not in seen:
+            seen[u] = f(math.exp(u))
+        return seen[u]
+
+    u = math.log(start)
+    grid, step = [u - 1.0, u, u + 1.0], 1.0
+    for v in grid:
+        g(v)
+    while len(seen) < most:
+        order = sorted(seen)
+        k = min(range(len(order)), key=lambda i: seen[order[i]])
+        if k in (0, len(order) - 1):
+            if abs(order[k] - u) > 12:
+                break
+            step *= 1.6
+            g(order[k] + (step if k else -step))
+            continue
+        a, b, c = order[k - 1 : k + 2]
+        fa, fb, fc = seen[a], seen[b], seen[c]
+        den = (b - a) * (fb - fc) - (b - c) * (fb - fa)
+        new = b - 0.5 * ((b - a) ** 2 * (fb - fc) - (b - c) ** 2 * (fb - fa)) / den if den else (a + c) / 2
+        if not a < new < c or min(abs(new - v) for v in (a, b, c)) < 1e-3 * (c - a):
+            new = (a + b) / 2 if b - a > c - b else (b + c) / 2
+        if c - a < tol * 100 or abs(new - b) < tol:
+            break
+        g(new)
+    best = min(seen, key=seen.get)
+    return math.exp(best), seen[best]
+
+
+def glmer_distributed(formula: str, df: DataFrame, family: str, link: str | None = None, weights: str | None = None, tol: float = 1e-7) -> FittedModel:
+    """Laplace fits of one grouping whose distinct rows stay in Spark.
+
+    Every iteration is one pass over the stored distinct rows: linear
+    predictor, weights and working responses are expressions beside a join
+    with the effects so far; sums by group come back.
+    """
+    import pandas as pd
+
+    from ..functions import families
+    from ..functions.families import COLUMNS
+    from . import generalized
+    from .kernels.optimize import lower_bounds, nelder_mead
+
+    fam = families.family(family)
+    lk = families.link(fam, link)
+    if fam.dispersion:
+        raise ModelError("families with a free dispersion are fitted on the driver")
+    design = analyze(df, formula)
+    design.shift = 0.0
+    factors, layout = factors_of(design)
+    if len(factors) != 1:
+        raise ModelError("a distributed fit has one grouping factor")
+    generalized._validate(df, design, fam, weights, None)
+    table, e = generalized.compress(df, design, weights)
+    rows, spark, f = table.persist(), df.sparkSession, factors[0]
+    n, k, p = int(rows.agg(F.sum("rows")).first()[0]), len(f.effects), len(e.x)
+    f.labels = sorted((r["g0"] for r in rows.select("g0").distinct().toLocalIterator()), key=lambda s: s.encode())
+    index = pd.Index(f.labels)
+    y = F.col(f"u{e.y}")
+    pairs = sorted(_pairs(e.x + e.z[0], e.x + e.z[0]))
+
+    def sums(state):
+        """Products at the weights of ``state`` (None: the family's start), and the deviance there."""
+        if state is None:
+            base, eta = rows, lk.link(fam.start(y, COLUMNS), COLUMNS) + F.col("off")
+        else:
+            beta, b = state
+            effects = spark.createDataFrame(pd.DataFrame({"g0": f.labels} | {f"b{j}": b[:, j] for j in range(k)}))
+            base = rows.join(F.broadcast(effects) if len(f.labels) <= 500_000 else effects, "g0")
+            eta = F.col("off")
+            for i, v in zip(e.x, beta):
+                eta = eta + F.col(f"u{i}") * F.lit(float(v))
+            for j, i in enumerate(e.z[0]):
+                eta = eta + F.col(f"u{i}") * F.col(f"b{j}")
+        base = base.withColumn("eta", eta).withColumn("mu", lk.inverse(F.col("eta"), COLUMNS)).withColumn("me", lk.mu_eta(F.col("eta"), COLUMNS))
+        base = base.withColumn("d", fam.deviance(y, F.col("mu"), F.col("w"), COLUMNS)).withColumn("v", F.col("w") * F.col("me") * F.col("me") / fam.variance(F.col("mu"), COLUMNS))
+        base = base.withColumn("z", F.col("eta") - F.col("off") + (y - F.col("mu")) / F.col("me")).withColumn("w", F.col("v"))
+        got = base.groupBy("g0").agg(F.sum("d").alias("dev"), F.sum(F.col("w") * F.col("z") * F.col("z")).alias("zz"), *[_product(i, j) for i, j in pairs], *[F.sum(F.col("w") * F.col(f"u{i}") * F.col("z")).alias(f"z{i}") for i in sorted({*e.x, *e.z[0]})]).toPandas()
+        got = got.iloc[np.argsort(index.get_indexer(got["g0"]))]
+        take = lambda left, right: np.stack([np.stack([got[f"p{min(i, j)}_{max(i, j)}"].to_numpy(float) for j in right], axis=-1) for i in left], axis=-2)
+        zs = lambda left: np.stack([got[f"z{i}"].to_numpy(float) for i in left], axis=-1)[:, :, None]
+        t = np.zeros((p + 1, p + 1))
+        t[:p, :p], t[:p, p], t[p, :p], t[p, p] = take(e.x, e.x).sum(0), zs(e.x).sum(0)[:, 0], zs(e.x).sum(0)[:, 0], got["zz"].sum()
+        c = np.concatenate([take(e.z[0], e.x), zs(e.z[0])], axis=2)
+        return Gram(design.names, n, t, [Factor(f.group, f.effects, f.blocks, f.labels, take(e.z[0], e.z[0]), c)], {}, layout), float(got["dev"].sum())
+
+    last: dict = {"state": None, "u": 0.0}
+
+    def solve(theta):
+        state, old, penalty = last["state"], math.inf, 0.0
+        for step in range(60):
+            gram, dev = sums(state)
+            sol = lmm.Solution(gram, theta)
+            if state is not None and step and abs(old - dev - penalty) < tol * (abs(dev + penalty) + 0.1):
+                last["state"] = state
+                return dev + sol.logdet + penalty, state, sol, gram, u
+            old = dev + penalty
+            beta = np.linalg.solve(sol.s[:p, :p], sol.s[:p, p])
+            u = sol.effects(np.concatenate([-beta, [1.0]]))[0]
+            state, penalty = (beta, u @ sol.lam[0].T), float((u * u).sum())
+        return math.inf, state, sol, gram, u
+
+    if len(lower_bounds(layout)) == 1:
+        theta = np.array([parabola(lambda t: solve([t])[0], 0.7)[0]])
+    else:
+        theta = nelder_mead(lambda t: solve(t)[0], np.where(lower_bounds(layout) == 0, 0.7, 0.0), lower_bounds(layout), step=0.3, tol=1e-6, most=150, restarts=1)[0]
+    dev, (beta, b), sol, gram, u = solve(theta)
+    rows.unpersist()
+    lam = sol.lam[0]
+    return FittedModel(
+        design=design, kind="glmer", coefficients=beta, v_unscaled=np.linalg.inv(sol.s[:p, :p]), sigma2=None, theta=theta, deviance=dev, reml=False, num_obs=n,
+        labels=[f.labels], b=[b], u=[u], covariance=[lam @ lam.T], factors=factors, layout=layout, n_params=len(theta) + p, converged=math.isfinite(dev), family=fam, link=lk, data=df, weights=weights, log_likelihood=-dev / 2,
+    )

@@ -43,7 +43,7 @@ def patterns(df: DataFrame, design: Design, fam: families.Family, weights: str |
     table, e = compress(df, design, weights, response)
     pdf = table.limit(MOST_PATTERNS + 1).toPandas()
     if len(pdf) > MOST_PATTERNS:
-        raise ModelError(f"more than {MOST_PATTERNS} distinct rows; round continuous columns or sample")
+        raise ModelError(f"more than {MOST_PATTERNS} distinct rows; fit with distributed=True")
     u = pdf[[f"u{i}" for i in range(len(e.columns))]].to_numpy(float)
     groups = []
     for i, f in enumerate(factors):
@@ -100,9 +100,16 @@ def prepare_glmer(formula: str, df: DataFrame, family: str, n_agq: int = 1, weig
     return PreparedGlmer(design, patterns(df, design, fam, weights), fam, lk, n_agq, df, weights)
 
 
-def glmer(formula: str, df: DataFrame, family: str, n_agq: int = 1, link: str | None = None, weights: str | None = None) -> FittedModel:
-    """A generalized linear mixed model; gaussian with the identity link is lmer by maximum likelihood."""
+def glmer(formula: str, df: DataFrame, family: str, n_agq: int = 1, link: str | None = None, weights: str | None = None, distributed: bool = False) -> FittedModel:
+    """A generalized linear mixed model; gaussian with the identity link is lmer by maximum likelihood.
+
+    ``distributed``: more distinct rows than the driver can hold; every iteration is a pass over them.
+    """
     fam = families.family(family)
+    if distributed:
+        from .distributed import glmer_distributed
+
+        return glmer_distributed(formula, df, family, link, weights)
     if fam.name == "gaussian" and families.link(fam, link).name == "identity":
         from .linear import lmer
 

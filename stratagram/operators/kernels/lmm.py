@@ -190,13 +190,17 @@ class LmmFit:
         self.covariance = [lam @ lam.T * self.sigma2 for lam in sol.lam]
 
 
-def fit(gram, reml: bool = True, start=None) -> tuple[LmmFit, int, bool]:
-    if gram.n <= gram.p:
-        raise Singular(f"{gram.n} rows for {gram.p} coefficients")
+def check_rank(gram) -> None:
     p = gram.p
     scale = np.sqrt(np.maximum(np.diag(gram.t)[:p], 1e-300))
     if p and np.linalg.eigvalsh(gram.t[:p, :p] / np.outer(scale, scale))[0] < 1e-13:
         raise Singular("the fixed effects are linearly dependent")
+
+
+def fit(gram, reml: bool = True, start=None) -> tuple[LmmFit, int, bool]:
+    if gram.n <= gram.p:
+        raise Singular(f"{gram.n} rows for {gram.p} coefficients")
+    check_rank(gram)
     if not gram.layout:
         return LmmFit(gram, [], reml), 0, True
     theta, _, n, ok = minimise_theta(lambda t: deviance(gram, t, reml), gram.layout, start)

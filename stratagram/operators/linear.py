@@ -42,6 +42,7 @@ def lm(formula: str, df: DataFrame, weights: str | None = None) -> FittedModel:
     if gram.n < gram.p:
         raise lmm.Singular(f"{gram.n} rows for {gram.p} coefficients")
     if gram.n == gram.p:
+        lmm.check_rank(gram)
         fit = lmm.LmmFit.__new__(lmm.LmmFit)
         s = gram.t
         fit.gram, fit.theta, fit.reml, fit.v_unscaled = gram, np.zeros(0), False, np.linalg.inv(s[: gram.p, : gram.p])

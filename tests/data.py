@@ -1,11 +1,7 @@
-"""Small public data sets, and made ones."""
+"""A small public data set, and made ones."""
 
 import numpy as np
 
-# Reaction times of 18 subjects over ten days of restricted sleep (Belenky and others, 2003), rounded to 4 places.
-SUBJECTS = [308, 309, 310, 330, 331, 332, 333, 334, 335, 337, 349, 350, 351, 352, 369, 370, 371, 372]
-
-
 def grouped(seed=1, groups=20, rows=15, slope_sd=0.5, crossed=0):
     """y = 2 + 1.5 x + b0 + b1 x + e, with a factor f and weights w; optionally a crossed grouping."""
     rng = np.random.default_rng(seed)
@@ -21,5 +17,4 @@ def grouped(seed=1, groups=20, rows=15, slope_sd=0.5, crossed=0):
         out["y"] = (out["y"] + rng.normal(0, 1, crossed)[h]).round(4)
     return out
 
-
 DYESTUFF = {"batch": [b for b in "ABCDEF" for _ in range(5)], "yield_": [1545, 1440, 1440, 1520, 1580, 1540, 1555, 1490, 1560, 1495, 1595, 1550, 1605, 1510, 1560, 1445, 1440, 1595, 1465, 1545, 1595, 1630, 1515, 1635, 1625, 1520, 1455, 1450, 1480, 1445]}

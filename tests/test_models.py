@@ -85,7 +85,7 @@ def test_dyestuff(spark):
 def test_identities(df, frame):
     m = sg.lmer("y ~ x + f + (x | g)", df)
     rows = m.fitted().select("y", "fitted", "residual", "g").toPandas()
-    assert rows["fitted"] + rows["residual"] == pytest.approx(rows["y"])
+    assert (rows["fitted"] + rows["residual"]).to_numpy() == pytest.approx(rows["y"].to_numpy())
     assert m.converged and not m.is_singular and len(m.theta_names) == 3
     assert m.b[0].sum(axis=0) == pytest.approx([0, 0], abs=0.3)
     pop = m.predict(df).select("prediction").toPandas()["prediction"]
@@ -315,6 +315,18 @@ def test_compression_is_exact(binary):
     assert len(p.y) <= 100 and p.n == 750 and p.w.sum() == 750
 
 
+def test_distributed_glmm(binary):
+    for fam, y in (("binomial", "y"), ("poisson", "k")):
+        a, b = sg.glmer(f"{y} ~ x + (1 | g)", binary, fam), sg.glmer(f"{y} ~ x + (1 | g)", binary, fam, distributed=True)
+        assert b.deviance == pytest.approx(a.deviance, abs=1e-3) and b.coefficients == pytest.approx(a.coefficients, abs=5e-3)
+
+
+def test_phases(df):
+    with sg.phase("outer"):
+        sg.lm("y ~ x", df)
+    assert sg.report()["outer"][0] == 1
+
+
 def test_poisson_and_gaussian(binary):
     m = sg.glmer("k ~ x + (1 | g)", binary, "poisson")
     assert m.coefficients == pytest.approx([0.3, 0.5], abs=0.15)
