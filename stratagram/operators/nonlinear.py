@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.curves import CURVES, Curve, custom_curve
 from ..plans.design import ModelError, group_key, number
 from ..plans.formula import FormulaError
+from ..shipping import ship
 from .kernels import nlmm
 
 _NAME = r"[A-Za-z_][A-Za-z0-9_]*"
@@ -153,6 +154,7 @@ class NonlinearModel:
 
 def points(df: DataFrame, spec: NlFormula) -> nlmm.Points:
     """Distinct (group, x) with count, mean and squares within: what normal errors need of the rows."""
+    ship(df.sparkSession)
     rows = df.select(group_key((spec.group,)).alias("g"), number(spec.x).alias("x"), number(spec.response).alias("y"))
     got = rows.groupBy("g", "x").agg(F.count("*").alias("n"), F.avg("y").alias("m"), (F.var_pop("y") * F.count("*")).alias("v")).limit(MOST_POINTS + 1).toPandas()
     if len(got) > MOST_POINTS:
@@ -214,7 +216,9 @@ def nlmer_with_mean(formula: str, df: DataFrame, mean_fn, param_names: list[str]
 
 def nls_by_key(df: DataFrame, key: str, x: str, y: str, curve: str) -> DataFrame:
     """An independent least-squares curve for every key, in tasks; a key's rows are averaged by x first."""
-    c = CURVES[curve]
+    if curve not in CURVES:
+        raise ModelError(f"unknown curve {curve}; one of {sorted(CURVES)}")
+    ship(df.sparkSession)
     rows = df.groupBy(F.col(key).cast("string").alias("key"), F.col(x).cast("double").alias("x")).agg(F.avg(F.col(y).cast("double")).alias("y"), F.count("*").alias("n"))
     name = curve
 
@@ -226,5 +230,4 @@ def nls_by_key(df: DataFrame, key: str, x: str, y: str, curve: str) -> DataFrame
             fit = {"parameters": [math.nan] * len(curve.parameters), "rss": math.nan, "converged": False}
         return pd.DataFrame([(pdf["key"].iloc[0], fit["parameters"], fit["rss"], int(pdf["n"].sum()), fit["converged"])], columns=["key", "parameters", "rss", "n", "converged"])
 
-    del c
     return rows.groupBy("key").applyInPandas(run, "key string, parameters array<double>, rss double, n long, converged boolean")

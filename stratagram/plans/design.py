@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..shipping import ship
 from .formula import UNARY, Atom, Formula, FormulaError, Random, parse
 
 #: Levels of one categorical column; more belong in a random effect.
@@ -204,6 +205,7 @@ def _expand_dot(f: Formula, df: DataFrame) -> list:
 
 def analyze(df: DataFrame, formula: str | Formula, response_as: Column | None = None) -> Design:
     f = parse(formula) if isinstance(formula, str) else formula
+    ship(df.sparkSession)
     terms = _expand_dot(f, df)
     atoms = {a.label: a for t in terms for a in t.atoms}
     for c in {c for a in atoms.values() for c in a.columns()} | {f.response} | {c for r in f.random for c in (*r.group, *r.slopes)} | (f.offset.columns() if f.offset else set()):

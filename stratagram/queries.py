@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.curves import COLUMNS as CURVE_COLUMNS
-from .functions.curves import CURVES
+from .functions.curves import CURVES, x_at
 from .functions.families import COLUMNS, FAMILIES, LINKS
 from .operators import comparisons, generalized, inference, linear, nonlinear, resample
 from .operators.gram import build_gram, design_rows, factors_of
@@ -122,6 +122,20 @@ def robust_hc0(spark, sf):
     return spark.createDataFrame([(n, round(float(s), 3)) for n, s in zip(m.fixed_names, m.robust_se)], "name string, robust_se double")
 
 
+@query(_TWO + ", r AS (SELECT *, (s1y*s1y/s11) AS q1, b1*s1y + b2*s2y AS q2 FROM f) SELECT 'l_quantity' AS term, 1.0::DOUBLE AS num_df, (n-3)::DOUBLE AS den_df, round(q1/s2, 3) AS f_value FROM r UNION ALL SELECT 'l_discount', 1.0, n-3, round((q2-q1)/s2, 3) FROM r")
+def anova_sequential(spark, sf):
+    m = linear.lm("l_extendedprice ~ l_quantity + l_discount", _t(spark, sf, "lineitem"))
+    return m.anova(anova_type="I").to_df(spark).select("term", "num_df", "den_df", _r(F.col("f_value"), 3).alias("f_value"))
+
+
+@query(_TWO + " SELECT round((b1 - 50*b2)*(b1 - 50*b2)/(s2*(s22 + 2500*s11 + 100*s12)/(s11*s22-s12*s12)), 4) AS f_value, 1.0::DOUBLE AS num_df FROM f")
+def contrast_test(spark, sf):
+    """Whether a unit of quantity is worth 50 units of discount."""
+    m = linear.lm("l_extendedprice ~ l_quantity + l_discount", _t(spark, sf, "lineitem"))
+    rows = inference.contrast_matrix_from_names(m.fixed_names, [[("l_quantity", 1.0), ("l_discount", -50.0)]])
+    return m.test_contrast(rows).to_df(spark).select(_r(F.col("f_value"), 4).alias("f_value"), "num_df")
+
+
 # ------------------------------------------------------------- projections
 
 
@@ -357,6 +371,26 @@ def pattern_compression(spark, sf):
     return table.select(lang.alias("lang"), F.col("g0").alias("source"), F.col(f"u{e.y}").alias("y"), "w")
 
 
+def _step(df, y, family, link, by):
+    """Sums of the first reweighted least-squares step, by group."""
+    fam, lk = FAMILIES[family], LINKS[link]
+    rows = df.select(by, y.alias("y")).withColumn("mu", fam.start(F.col("y"), COLUMNS)).withColumn("eta", lk.link(F.col("mu"), COLUMNS))
+    me = lk.mu_eta(F.col("eta"), COLUMNS)
+    rows = rows.withColumn("w", me * me / fam.variance(F.col("mu"), COLUMNS)).withColumn("z", F.col("eta") + (F.col("y") - F.col("mu")) / me)
+    return rows.groupBy(by).agg(F.round(F.sum("w"), 6).alias("w"), F.round(F.sum(F.col("w") * F.col("z")), 6).alias("wz"))
+
+
+@query("WITH r AS (SELECT lang, (quality + 0.5)/2 AS u, quality AS y FROM labels JOIN documents USING (doc_id)), s AS (SELECT lang, u*(1-u) AS w, ln(u/(1-u)) + (y-u)/(u*(1-u)) AS z FROM r) SELECT lang, round(sum(w), 6) AS w, round(sum(w*z), 6) AS wz FROM s GROUP BY 1")
+def pirls_step_logit(spark, sf):
+    return _step(_labelled(spark, sf), F.col("quality").cast("double"), "binomial", "logit", "lang")
+
+
+@query("WITH c AS (SELECT user_id, event_type, count(*) AS y FROM events GROUP BY 1, 2), r AS (SELECT event_type, y, y + 0.1 AS u FROM c) SELECT event_type, round(sum(u), 6) AS w, round(sum(u*(ln(u) + (y-u)/u)), 6) AS wz FROM r GROUP BY 1")
+def pirls_step_log(spark, sf):
+    df = _t(spark, sf, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    return _step(df, F.col("n").cast("double"), "poisson", "log", "event_type")
+
+
 @query()
 def glmer_binomial(spark, sf):
     return generalized.glmer("quality ~ lang + (1 | source)", _labelled(spark, sf), "binomial").coefficient_table(spark)
@@ -519,6 +553,15 @@ def sorted_xy(spark, sf):
     return spark.createDataFrame([(float(x), int(w), round(float(y), 4)) for x, w, y in zip(p.x, p.w, p.y)], "x double, n long, y double")
 
 
+@query("""WITH m AS (SELECT l_quantity AS x, avg(l_extendedprice) AS y FROM lineitem GROUP BY 1), h AS (SELECT (min(y)+max(y))/2 AS half FROM m), n AS (SELECT x, y, lead(x) OVER (ORDER BY x) AS x2, lead(y) OVER (ORDER BY x) AS y2 FROM m)
+SELECT round(x + (half-y)/(y2-y)*(x2-x), 5) AS x_half FROM n, h WHERE half BETWEEN least(y, y2) AND greatest(y, y2) AND y <> y2 ORDER BY x LIMIT 1""")
+def interpolation(spark, sf):
+    """Where the mean response first passes the middle of its range."""
+    df = _t(spark, sf, "lineitem").withColumn("one", F.lit("a"))
+    p = nonlinear.points(df, nonlinear.parse_nlmer("l_extendedprice ~ SSmicmen(l_quantity, Vmax, K) ~ Vmax | one"))
+    return spark.createDataFrame([(round(float(x_at(p.x, p.y, (p.y.min() + p.y.max()) / 2)), 5),)], "x_half double")
+
+
 @query()
 def nlmer_growth(spark, sf):
     df = _t(spark, sf, "lineitem").select("l_quantity", (F.lit(100.0) * F.col("l_quantity") / (F.lit(8.0) + F.col("l_quantity")) + (F.col("l_suppkey") % 7) + F.col("l_discount") * 10.0).alias("y"), "l_suppkey")
