@@ -175,3 +175,19 @@ def op7_aho_corasick(spark: SparkSession, sf_dir: str) -> DataFrame:
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: documents with a benchmark window go."""
     return find_contamination(docs, table(spark, sf_dir, "benchmark")).where(F.col("n_hit") == 0).select(*docs.columns)
+
+
+_SQL_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP7_SQL = f"""
+WITH items AS (SELECT item_id, {_SQL_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+sized AS (SELECT item_id, w, least({WINDOW}, len(w)) AS n FROM items WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS k FROM sized, unnest(range(1, len(w) - n + 2)) AS r(i)),
+docs AS (SELECT row_number() OVER () AS rid, doc_id, {_SQL_WORDS} AS w FROM documents),
+spots AS (SELECT rid, i, n, array_to_string(w[i:i + n - 1], ' ') AS k FROM docs, (SELECT DISTINCT n FROM windows) AS s, unnest(range(1, len(w) - n + 2)) AS r(i)),
+found AS (SELECT rid, i, n, item_id FROM spots JOIN windows USING (n, k)),
+hits AS (SELECT rid, count(DISTINCT j) AS n_hit FROM found, unnest(range(i, i + n)) AS r(j) GROUP BY rid),
+named AS (SELECT rid, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS ids FROM found GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, CAST(coalesce(len(ids), 0) AS BIGINT) AS n_items,
+  sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hits USING (rid) LEFT JOIN named USING (rid)
+"""

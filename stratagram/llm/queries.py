@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .chat import OP10_SQL, op10_schema_fingerprint
-from .decontaminate import op7_aho_corasick
+from .decontaminate import OP7_SQL, op7_aho_corasick
 from .digest import op9_quartile_digest
 from .langid import op2_word_backoff
 from .packing import op4_best_fit
@@ -14,4 +14,4 @@ from .tokenfile import op3_token_orc
 from .warc import OP8_SQL, op8_gzip_normaliser
 
 QUERIES = {f.__name__: f for f in (op1_random_indexing, op2_word_backoff, op3_token_orc, op4_best_fit, op5_zstd_novelty, op6_simhash, op7_aho_corasick, op8_gzip_normaliser, op9_quartile_digest, op10_schema_fingerprint)}
-ORACLES = {"op8_gzip_normaliser": OP8_SQL, "op10_schema_fingerprint": OP10_SQL}
+ORACLES = {"op7_aho_corasick": OP7_SQL, "op8_gzip_normaliser": OP8_SQL, "op10_schema_fingerprint": OP10_SQL}

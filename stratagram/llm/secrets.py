@@ -23,6 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .common import documents_only, table
 
 # The base patterns and the least lengths of what they must hold.
@@ -156,8 +157,8 @@ def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: every document stays, its secrets replaced by their kind; n_chars follows."""
-    columns = docs.columns
-    schema = docs.schema
+    ship(spark)
+    columns, schema = docs.columns, docs.schema
 
     def run(batches):
         novelty = Novelty()

@@ -318,6 +318,20 @@ def test_decontamination(spark, where, block_bytes, monkeypatch):
     same(rows, expected)
 
 
+@pytest.mark.parametrize("name", ["op7_aho_corasick", "op8_gzip_normaliser", "op10_schema_fingerprint"])
+def test_sql(spark, sf, name):
+    import duckdb
+
+    from stratagram.llm.queries import ORACLES
+
+    db = duckdb.connect()
+    for t in ("documents", "benchmark", "pages", "conversations"):
+        db.execute(f"create view {t} as select * from read_parquet('{sf}/{t}.parquet')")
+    rows = QUERIES[name](spark, sf)
+    want = db.execute(f"select {', '.join(rows.columns)} from ({ORACLES[name]})").fetchall()
+    same(rows.collect(), want)
+
+
 def test_decontamination_offsets(spark):
     docs = spark.createDataFrame([(1, "É!! One, TWO\nthree -- four five six seven eight nine ten. end")], "doc_id long, text string")
     bench = spark.createDataFrame([("q", "one two three four five six seven eight nine ten")], "item_id string, text string")
