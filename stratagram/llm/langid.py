@@ -71,18 +71,15 @@ def _count(batches):
 class Model:
     """Log frequencies by language, less their mean over the languages."""
 
-    def __init__(self, languages: list[str], terms: list[dict[str, dict[str, int]]]):
-        self.languages = languages
-        at = {lang: k for k, lang in enumerate(languages)}
-        self.tables = []
-        for known in terms:
-            counts = np.full((len(known), len(languages)), SMOOTHING)
-            for i, by in enumerate(known.values()):
-                for lang, n in by.items():
-                    counts[i, at[lang]] += n
-            logs = np.log(counts / counts.sum(axis=0, keepdims=True)) if counts.size else counts
-            mean = logs.mean(axis=1, keepdims=True) if languages else 0.0
-            self.tables.append((list(known), (logs - mean).astype(np.float32)))
+    def __init__(self, languages: list[str], known: list[tuple[list[str], np.ndarray]]):
+        """``known``: words, then n-grams, each with counts (terms, languages)."""
+        self.languages, self.tables = languages, []
+        for terms, counts in known:
+            logs = np.asarray(counts, float).reshape(len(terms), len(languages)) + SMOOTHING
+            if logs.size:
+                logs = np.log(logs / logs.sum(axis=0, keepdims=True))
+                logs -= logs.mean(axis=1, keepdims=True)
+            self.tables.append((terms, logs.astype(np.float32)))
 
 
 class Scorer:
@@ -154,17 +151,18 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, vocabulary: int = V
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     languages = sorted(sizes)
     if not languages:
-        return Model([], [{}, {}])
+        return Model([], [([], np.zeros((0, 0)))] * 2)
     share = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, sample_rows / sizes[lang]))])
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("language sample")), F.lit(1_000_000)) / 1e6
     sample = rows.where(draw < share[F.col("lang")]).select("lang", "text")
-    counts = sample.mapInArrow(_count, "lang string, kind int, term string, n long").groupBy("kind", "term", "lang").agg(F.sum("n").alias("n"))
-    terms = counts.groupBy("kind", "term").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by")).where(F.col("n") >= LEAST)
+    counts = sample.mapInArrow(_count, "lang string, kind int, term string, n long")
+    by = [F.sum(F.when(F.col("lang") == lang, F.col("n")).otherwise(0)).alias(f"n{i}") for i, lang in enumerate(languages)]
+    terms = counts.groupBy("kind", "term").agg(F.sum("n").alias("n"), *by).where(F.col("n") >= LEAST)
     terms = WorkFolder(labelled.sparkSession, "language").materialise(terms, "terms")  # of the sample alone
     known = []
     for kind in (0, 1):  # at most ``vocabulary`` rows each
-        top = terms.where(F.col("kind") == kind).orderBy(F.desc("n"), "term").limit(vocabulary)
-        known.append({r["term"]: r["by"] for r in top.select("term", "by").toLocalIterator()})
+        top = terms.where(F.col("kind") == kind).orderBy(F.desc("n"), "term").limit(vocabulary).drop("kind", "n").toPandas()
+        known.append((top["term"].tolist(), top.drop(columns="term").to_numpy(np.int64)))
     return Model(languages, known)
 
 

@@ -425,7 +425,7 @@ def test_chat_layouts(spark):
 
 
 def test_language_backoff():
-    model = langid.Model(["aa", "bb"], [{"xyz": {"aa": 5}}, {"q": {"bb": 4}, "z": {"aa": 4}}])
+    model = langid.Model(["aa", "bb"], [(["xyz"], np.array([[5, 0]])), (["q", "z"], np.array([[0, 4], [4, 0]]))])
     scorer = langid.Scorer(model)
     assert scorer.predict("xyz")[0] == "aa" and scorer.predict("qqq")[0] == "bb" and scorer.predict("12 !")[0] == "und"
 
