@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from statistics import NormalDist
 from typing import Callable
 
 import numpy as np
@@ -16,7 +17,7 @@ EPS = 2.220446049250313e-16
 ETA_BOUND = 30.0
 
 _erfc = np.vectorize(math.erfc, otypes=[float])
-_ppf = np.vectorize(lambda p: __import__("statistics").NormalDist().inv_cdf(p), otypes=[float])
+_ppf = np.vectorize(NormalDist().inv_cdf, otypes=[float])
 
 
 def _unit(x, m):

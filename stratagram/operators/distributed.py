@@ -88,19 +88,18 @@ def lmer_distributed(formula: str, df: DataFrame, reml: bool = True, weights: st
         theta, *_ = minimise_theta(lambda t: float(deviances([t])[0]), layout)
     logs, mats = profile_many(sums, theta[None, :], design.names, factor, layout, e, xy)
     s, p = mats[0], len(xy) - 1
-    fit = lmm.LmmFit.__new__(lmm.LmmFit)
-    fit.theta, fit.reml, fit.v_unscaled = theta, reml, np.linalg.inv(s[:p, :p])
-    fit.beta = fit.v_unscaled @ s[:p, p]
-    fit.rss = float(s[p, p] - fit.beta @ s[:p, p])
-    fit.df = n - p if reml else n
-    fit.sigma2, fit.deviance = fit.rss / fit.df, lmm.profile_deviance(s, logs[0], n, reml)
+    v = np.linalg.inv(s[:p, :p])
+    beta = v @ s[:p, p]
+    rss = float(s[p, p] - beta @ s[:p, p])
+    sigma2 = rss / (n - p if reml else n)
     factor.labels = []
     gram = Gram(design.names, n, s, [factor], {}, layout)
     lam = lmm.lambdas(theta, gram)[0]
-    fit.u, fit.b, fit.covariance = [np.zeros((0, len(factor.effects)))], [np.zeros((0, len(factor.effects)))], [lam @ lam.T * fit.sigma2]
+    none = [np.zeros((0, len(factor.effects)))]
+    fit = lmm.LmmFit.of(theta=theta, reml=reml, v_unscaled=v, beta=beta, rss=rss, sigma2=sigma2, deviance=lmm.profile_deviance(s, logs[0], n, reml), u=none, b=none, covariance=[lam @ lam.T * sigma2])
     model = linear._assemble(design, gram, fit, "lmer", 0, True, df, weights)
     model.gram = None
-    model.extra["group_sums"] = (sums, factor, layout, e, xy, lam, fit.beta)
+    model.extra["group_sums"] = (sums, factor, layout, e, xy, lam, beta)
     return model
 
 

@@ -70,15 +70,15 @@ class PreparedGlmer:
         return self.family.name
 
     def fit(self) -> FittedModel:
-        d, s_count = self.rows, 0
-        s, theta, s_count, ok = glmm.fit(d, self.family, self.link, self.n_agq)
+        d = self.rows
+        s, theta, count, ok = glmm.fit(d, self.family, self.link, self.n_agq)
         p = d.x.shape[1]
         phi = s.phi if self.family.dispersion else None
         sigma2 = s.dev / float(d.w.sum()) if self.family.dispersion else None
         cov = [lam @ lam.T for lam in s.sol.lam]
         return FittedModel(
             design=self.design, kind="glmer", coefficients=s.beta, v_unscaled=np.linalg.inv(s.sol.s[:p, :p]), sigma2=sigma2, theta=theta, deviance=s.deviance, reml=False, num_obs=d.n,
-            labels=[f.labels for f in d.factors], b=s.b, u=s.u, covariance=cov, factors=d.factors, layout=d.layout, n_params=len(theta) + p, converged=ok, iterations=s_count, family=self.family, link=self.link, phi=phi, data=self.data, weights=self.weights,
+            labels=[f.labels for f in d.factors], b=s.b, u=s.u, covariance=cov, factors=d.factors, layout=d.layout, n_params=len(theta) + p, converged=ok, iterations=count, family=self.family, link=self.link, phi=phi, data=self.data, weights=self.weights,
             log_likelihood=-s.deviance / 2, extra={"patterns": d, "n_agq": self.n_agq},
         )
 

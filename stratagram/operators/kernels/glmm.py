@@ -16,7 +16,7 @@ from ...functions.families import NUMPY, Family, Link
 from ...functions.special import hermite_nodes
 from ..gram import Factor, Gram
 from .lmm import Solution
-from .optimize import lower_bounds, minimise_theta, nelder_mead, scalar, start_theta
+from .optimize import lower_bounds, minimise_theta, nelder_mead, scalar
 
 NODES_ALLOWED = (1, 3, 5, 7, 9, 11)
 MOST_GRID, MOST_JOINT, JOINT_EFFECTS = 400, 7000, 8
@@ -156,7 +156,6 @@ def quadrature(d: Patterns, fam: Family, lk: Link, s: State, nodes: int) -> floa
         lse = top + np.log(np.exp(logs - top).sum(axis=0))
         return float(-2 * lse.sum() + s.logdet + fit0)
     if q <= JOINT_EFFECTS and nodes**q <= MOST_JOINT:
-        sizes = [v.shape for v in s.u]
         a = np.eye(q)
         at = np.concatenate([[0], np.cumsum([v.size for v in s.u])])
         design = np.zeros((len(d.y), q))
@@ -166,7 +165,6 @@ def quadrature(d: Patterns, fam: Family, lk: Link, s: State, nodes: int) -> floa
                 design[np.arange(len(g)), at[i] + g * zl.shape[1] + j] += zl[:, j]
         a += (design * s.w[:, None]).T @ design
         half, u0 = np.linalg.inv(np.linalg.cholesky(a)).T, np.concatenate([v.ravel() for v in s.u])
-        del sizes
         grid = np.stack([v.ravel() for v in np.meshgrid(*[x] * q, indexing="ij")], axis=1)
         weight = np.prod(np.stack([v.ravel() for v in np.meshgrid(*[w] * q, indexing="ij")], axis=1), axis=1)
         logs = np.array([math.log(wt) + 0.5 * (pt @ pt) - 0.5 * (dev(base + design @ (u0 + half @ pt)).sum() + ((u0 + half @ pt) ** 2).sum()) for pt, wt in zip(grid, weight)])
@@ -208,5 +206,3 @@ def fit(d: Patterns, fam: Family, lk: Link, nodes: int = 1):
         raise ValueError("the iterations did not converge at the estimate")
     return s, np.asarray(theta), count, ok
 
-
-__all__ = ["Patterns", "fit", "pirls", "profile", "quadrature", "start_theta"]

@@ -168,6 +168,13 @@ def profile_deviance(s, logdet, n, reml) -> float:
 class LmmFit:
     """Estimates at theta-hat."""
 
+    @classmethod
+    def of(cls, **values) -> "LmmFit":
+        """From values that were found elsewhere."""
+        out = cls.__new__(cls)
+        out.__dict__.update(values)
+        return out
+
     def __init__(self, gram, theta, reml: bool):
         self.gram, self.theta, self.reml = gram, np.asarray(theta, float), reml
         sol = Solution(gram, theta)

@@ -43,10 +43,8 @@ def lm(formula: str, df: DataFrame, weights: str | None = None) -> FittedModel:
         raise lmm.Singular(f"{gram.n} rows for {gram.p} coefficients")
     if gram.n == gram.p:
         lmm.check_rank(gram)
-        fit = lmm.LmmFit.__new__(lmm.LmmFit)
-        s = gram.t
-        fit.gram, fit.theta, fit.reml, fit.v_unscaled = gram, np.zeros(0), False, np.linalg.inv(s[: gram.p, : gram.p])
-        fit.beta, fit.rss, fit.u, fit.b, fit.covariance = fit.v_unscaled @ s[: gram.p, gram.p], 0.0, [], [], []
+        v = np.linalg.inv(gram.t[: gram.p, : gram.p])
+        fit = lmm.LmmFit.of(theta=np.zeros(0), reml=False, v_unscaled=v, beta=v @ gram.t[: gram.p, gram.p], rss=0.0, u=[], b=[], covariance=[])
         return _assemble(design, gram, fit, "lm", 0, True, df, weights)
     fit, _, _ = lmm.fit(gram, reml=False)
     return _assemble(design, gram, fit, "lm", 0, True, df, weights)

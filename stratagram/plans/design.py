@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..shipping import ship
-from .formula import UNARY, Atom, Formula, FormulaError, Random, parse
+from .formula import UNARY, Atom, Formula, FormulaError, Random, Term, parse
 
 #: Levels of one categorical column; more belong in a random effect.
 MOST_LEVELS = 10_000
@@ -188,8 +188,6 @@ def is_category(df: DataFrame, column: str) -> bool:
 
 
 def _expand_dot(f: Formula, df: DataFrame) -> list:
-    from .formula import Term
-
     named = {f.response} | {c for r in f.random for c in (*r.group, *r.slopes)} | (f.offset.columns() if f.offset else set())
     for t in f.terms:
         for a in t.atoms:

@@ -209,7 +209,7 @@ class _Parser:
 
     def random(self) -> list[Random]:
         self.take("(")
-        intercept, slopes, sign, first = True, [], "+", True
+        intercept, slopes, sign = True, [], "+"
         while True:
             kind, value = self.peek()
             if kind == "num":
@@ -225,11 +225,9 @@ class _Parser:
                     slopes.append(name)
             else:
                 raise FormulaError(f"unexpected {value or 'end'!r} in a random effect")
-            first = False
             if self.peek()[1] not in ("+", "-"):
                 break
             sign = self.take()
-        del first
         bar = self.take()
         if bar not in ("|", "||"):
             raise FormulaError(f"expected | in a random effect, found {bar!r}")

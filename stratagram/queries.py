@@ -13,9 +13,9 @@ from .functions.curves import COLUMNS as CURVE_COLUMNS
 from .functions.curves import CURVES, x_at
 from .functions.families import COLUMNS, FAMILIES, LINKS
 from .operators import comparisons, generalized, inference, linear, nonlinear, resample
-from .operators.gram import build_gram, design_rows, factors_of
+from .operators.gram import build_gram
 from .operators.kernels import lmm
-from .plans.design import analyze, factor_column
+from .plans.design import analyze
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -591,4 +591,4 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES["lmer_scored"] = flagship
-__all__ = ["ORACLES", "QUERIES", "design_rows", "factor_column", "factors_of", "flagship"]
+__all__ = ["ORACLES", "QUERIES", "flagship"]
