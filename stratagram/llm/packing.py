@@ -2,9 +2,10 @@
 
 Each task keeps a fixed number of open bins in a bitset keyed by free space.
 A piece goes to the bin with the least free space that holds it.  If none does
-and all bins are open, the fullest closes first.  What is still open when a
-task ends goes through a second, far smaller round; what is open after that is
-packed once more, largest piece first.  Sequences never share pieces between
+and all bins are open, the fullest closes first.  Pieces arrive longest first
+within a task, so that short ones find the gaps that long ones left.  When a
+task ends, its emptiest bins go through a second, far smaller round; what is
+open after that is packed once more.  Sequences never share pieces between
 tasks, so any number of tasks may run.
 
 Documents longer than a sequence, and only those, are cut.  Null text counts
@@ -27,10 +28,12 @@ from .encoding import encoder
 
 CAPACITY = 2048
 END_ID = 0
-OPEN_BINS = 1024
+OPEN_BINS = 32_768
 #: Pieces that a packing task of the first round gets, and tasks whose remains meet in one task of the second.
 PIECES_A_TASK = 50_000
 REMAINS_A_TASK = 32
+#: Bins of a task, the emptiest, whose pieces go to the second round.
+REMAINING_BINS = 256
 AT_ONCE = 128
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -76,7 +79,7 @@ class BestFit:
         return closed
 
     def rest(self) -> list[list]:
-        """The bins still open."""
+        """The bins still open, the fullest first."""
         out = [b for free in sorted(self.bins) for b in self.bins[free]]
         self.mask, self.count, self.bins = 0, 0, {}
         return out
@@ -151,6 +154,9 @@ def _place(capacity, open_bins, round_, last):
             for _, length, item in sorted((x for b in rest for x in b), key=lambda x: -x[1]):
                 close(again.add(length, item))
             rest = again.rest()
+        else:
+            close(rest[:-REMAINING_BINS])
+            rest = rest[-REMAINING_BINS:]
         close(rest, last)
         if out:
             yield emit()
@@ -163,11 +169,12 @@ def pack_pieces(pieces: DataFrame, folder: WorkFolder, capacity: int = CAPACITY,
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema.fields) + ", " + _PLACED
     tasks = max(1, math.ceil(pieces.count() / PIECES_A_TASK))
     dealt = pieces.repartition(tasks) if tasks > 1 else pieces.coalesce(1)
-    placed = dealt.mapInArrow(_place(capacity, open_bins, 0, tasks == 1), schema)
+    placed = dealt.sortWithinPartitions(F.desc("length")).mapInArrow(_place(capacity, open_bins, 0, tasks == 1), schema)
     if tasks > 1:
         first = folder.materialise(placed, "placed")
         remains = first.where(~F.col("closed")).select(*pieces.columns)
-        second = remains.repartition(max(1, math.ceil(tasks / REMAINS_A_TASK))).mapInArrow(_place(capacity, open_bins, 1, True), schema)
+        fewer = remains.repartition(max(1, math.ceil(tasks / REMAINS_A_TASK)))
+        second = fewer.sortWithinPartitions(F.desc("length")).mapInArrow(_place(capacity, open_bins, 1, True), schema)
         placed = first.where("closed").unionByName(second)
     return placed.drop("closed")
 
