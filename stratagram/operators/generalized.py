@@ -69,9 +69,13 @@ class PreparedGlmer:
     def family_name(self) -> str:
         return self.family.name
 
-    def fit(self) -> FittedModel:
+    def fit(self, refine: bool = False) -> FittedModel:
+        """``refine``: fixed effects at the least deviance together with theta, not those of the penalised iterations."""
         d = self.rows
         s, theta, count, ok = glmm.fit(d, self.family, self.link, self.n_agq)
+        if refine:
+            s, theta, more, ok = glmm.refine(d, self.family, self.link, theta, s, self.n_agq)
+            count += more
         p = d.x.shape[1]
         phi = s.phi if self.family.dispersion else None
         sigma2 = s.dev / float(d.w.sum()) if self.family.dispersion else None
@@ -100,7 +104,7 @@ def prepare_glmer(formula: str, df: DataFrame, family: str, n_agq: int = 1, weig
     return PreparedGlmer(design, patterns(df, design, fam, weights), fam, lk, n_agq, df, weights)
 
 
-def glmer(formula: str, df: DataFrame, family: str, n_agq: int = 1, link: str | None = None, weights: str | None = None, distributed: bool = False) -> FittedModel:
+def glmer(formula: str, df: DataFrame, family: str, n_agq: int = 1, link: str | None = None, weights: str | None = None, distributed: bool = False, refine: bool = False) -> FittedModel:
     """A generalized linear mixed model; gaussian with the identity link is lmer by maximum likelihood.
 
     ``distributed``: more distinct rows than the driver can hold; every iteration is a pass over them.
@@ -114,7 +118,7 @@ def glmer(formula: str, df: DataFrame, family: str, n_agq: int = 1, link: str |
         from .linear import lmer
 
         return lmer(formula, df, reml=False, weights=weights)
-    return prepare_glmer(formula, df, family, n_agq, weights, link).fit()
+    return prepare_glmer(formula, df, family, n_agq, weights, link).fit(refine)
 
 
 glmer_weighted = glmer_with_link = glmer

@@ -71,7 +71,7 @@ def pirls(d: Patterns, fam: Family, lk: Link, theta, phi: float = 1.0, start: St
     positive = lk.name == "inverse"
     if start is None:
         mu = fam.start(d.y, NUMPY)
-        eta = lk.link(mu, NUMPY) + d.offset
+        eta = lk.link(mu, NUMPY)
     else:
         eta = start.eta
         mu = lk.inverse(eta, NUMPY)
@@ -173,6 +173,27 @@ def quadrature(d: Patterns, fam: Family, lk: Link, s: State, nodes: int) -> floa
     return s.deviance
 
 
+def refine(d: Patterns, fam: Family, lk: Link, theta, s: State, nodes: int = 1):
+    """Theta and the fixed effects together at the least Laplace (or quadrature) deviance, from a PIRLS fit."""
+    p, k = d.x.shape[1], len(theta)
+    se = np.sqrt(np.diag(np.linalg.inv(s.sol.s[:p, :p])))
+
+    def at(v):
+        beta = s.beta + v[k:] * se
+        held = Patterns(d.x[:, :0], d.y, d.w, d.offset + d.x @ beta, d.groups, d.z, d.factors, d.layout, [], d.n)
+        return beta, profile(held, fam, lk, v[:k], nodes)
+
+    def f(v):
+        out = at(v)[1]
+        return math.inf if out is None else out.deviance
+
+    v, _, count, ok = nelder_mead(f, np.concatenate([theta, np.zeros(p)]), np.concatenate([lower_bounds(d.layout), np.full(p, -math.inf)]), step=0.1)
+    beta, out = at(v)
+    out.beta, out.gram = beta, d.gram(out.w, out.eta - d.offset)
+    out.sol = Solution(out.gram, v[:k])
+    return out, v[:k], count, ok
+
+
 def fit(d: Patterns, fam: Family, lk: Link, nodes: int = 1):
     """(state, theta, evaluations, converged).  Laplace first; quadrature starts from it."""
     if nodes not in NODES_ALLOWED:

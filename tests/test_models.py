@@ -304,6 +304,8 @@ def test_binomial(binary):
         assert sg.glmer("y ~ x + (1 | g)", binary, "binomial", link=lk).coefficients[1] > 0
     lo, hi = m.confint(method="profile", parms=["x"])[0]
     assert lo < m.coefficients[1] < hi
+    r = sg.glmer("y ~ x + (1 | g)", binary, "binomial", refine=True)
+    assert r.deviance < m.deviance and r.coefficients == pytest.approx(m.coefficients, abs=0.1)
     with pytest.raises(sg.ModelError):
         sg.glmer("x ~ y + (1 | g)", binary.withColumn("x", F.col("x") + 1.5), "binomial")
 
