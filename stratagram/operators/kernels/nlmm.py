@@ -48,8 +48,8 @@ class Problem:
             params[r] = params[r] + b[self.d.group, j]
         return self.curve.values(self.d.x, params)
 
-    def pnls(self, lam, beta, b, most=120):
-        """Minimise RSS + |u|^2, b = lam u, by damped Gauss-Newton; groups are eliminated one by one."""
+    def pnls(self, lam, beta, b, most=120, fixed=False):
+        """Minimise RSS + |u|^2, b = lam u, by damped Gauss-Newton; groups are eliminated one by one.  ``fixed``: b alone."""
         d, k = self.d, self.k
         prior = np.linalg.inv(lam @ lam.T)
         penalty = lambda b: float(np.einsum("mi,ij,mj->", b, prior, b))
@@ -72,7 +72,7 @@ class Problem:
                     sd = s + damp * s * np.eye(k)
                     sc, sg = np.linalg.solve(sd, c), np.linalg.solve(sd, g[:, :, None])[:, :, 0]
                     a = xx + damp * np.diag(np.maximum(np.diag(xx), 1e-8)) - np.einsum("mkp,mkq->pq", c, sc)
-                    db = np.linalg.solve(a, xr - np.einsum("mkp,mk->p", c, sg))
+                    db = np.zeros(self.p) if fixed else np.linalg.solve(a, xr - np.einsum("mkp,mk->p", c, sg))
                 except np.linalg.LinAlgError:
                     damp = max(damp * 10, 1e-6)
                     continue
@@ -174,6 +174,37 @@ def fit(problem: Problem, starts: list, nodes: int = 1):
     return best
 
 
+def refine(problem: Problem, found, nodes: int = 1):
+    """Theta and the fixed effects together at the least Laplace (or quadrature) deviance, from ``found``."""
+    theta, beta, b, _, value, count, _ = found
+    k, n = problem.k, len(theta)
+    scale = 0.01 * np.abs(beta) + 1e-4
+    warm = [b]
+
+    def at(v):
+        lam = triangle(v[:n], k)
+        start = beta + v[n:] * scale
+        out = problem.pnls(lam, start, warm[0], fixed=True) or problem.pnls(lam, start, np.zeros_like(b), fixed=True)
+        if out is None:
+            return None
+        warm[0] = out[1]
+        return out[0], out[1], *problem.criterion(lam, *out, nodes)
+
+    def f(v):
+        try:
+            out = at(v)
+        except np.linalg.LinAlgError:
+            return math.inf
+        return math.inf if out is None or not math.isfinite(out[2]) else out[2]
+
+    lower = np.array([1e-6 if i == j else -np.inf for j in range(k) for i in range(j, k)] + [-np.inf] * len(beta))
+    v, best, more, ok = nelder_mead(f, np.concatenate([theta, np.zeros(len(beta))]), lower, step=0.3, tol=1e-10)
+    if best > value:
+        return found
+    new_beta, new_b, dev, sigma2 = at(v)
+    return v[:n], new_beta, new_b, sigma2, dev, count + more, ok
+
+
 def nls(curve: Curve, x, y, start=None, most: int = 200) -> dict:
     """Ordinary nonlinear least squares of one series."""
     beta = np.asarray(start if start is not None else curve.self_start(x, y), float)

@@ -173,7 +173,7 @@ def _bounds(names, given, fill):
     return out
 
 
-def _fit(df, spec: NlFormula, curve: Curve, start, reml, n_agq, lower, upper, group_lower, group_upper) -> NonlinearModel:
+def _fit(df, spec: NlFormula, curve: Curve, start, reml, n_agq, lower, upper, group_lower, group_upper, refine) -> NonlinearModel:
     for given in (group_lower, group_upper):
         if set(given or {}) - set(spec.random):
             raise ModelError(f"group bounds are for random parameters {spec.random}")
@@ -195,23 +195,25 @@ def _fit(df, spec: NlFormula, curve: Curve, start, reml, n_agq, lower, upper, gr
         except (ValueError, np.linalg.LinAlgError):
             pooled = own
         starts = [pooled, own] if np.all(np.isfinite(pooled)) else [own]
-    theta, beta, b, sigma2, dev, n, ok = nlmm.fit(problem, starts, n_agq)
+    found = nlmm.fit(problem, starts, n_agq)
+    theta, beta, b, sigma2, dev, n, ok = nlmm.refine(problem, found, n_agq) if refine else found
     return NonlinearModel(spec.text, spec, curve, beta, theta, b, data.labels, sigma2, dev, data.n, reml, ok, n, df)
 
 
-def nlmer(formula: str, df: DataFrame, start: dict | None = None, reml: bool = False, n_agq: int = 1, lower=None, upper=None, group_lower=None, group_upper=None) -> NonlinearModel:
+def nlmer(formula: str, df: DataFrame, start: dict | None = None, reml: bool = False, n_agq: int = 1, lower=None, upper=None, group_lower=None, group_upper=None, refine: bool = False) -> NonlinearModel:
+    """``refine``: fixed effects at the least deviance together with theta, not those of penalised least squares."""
     spec = parse_nlmer(formula)
     named = Curve(spec.curve, tuple(spec.parameters), CURVES[spec.curve].mean, CURVES[spec.curve].start)
-    return _fit(df, spec, named, start, reml, n_agq, lower, upper, group_lower, group_upper)
+    return _fit(df, spec, named, start, reml, n_agq, lower, upper, group_lower, group_upper, refine)
 
 
 nlmer_with_options = nlmer
 
 
-def nlmer_with_mean(formula: str, df: DataFrame, mean_fn, param_names: list[str], start: dict | None = None, reml: bool = False, n_agq: int = 1, lower=None, upper=None, group_lower=None, group_upper=None) -> NonlinearModel:
+def nlmer_with_mean(formula: str, df: DataFrame, mean_fn, param_names: list[str], start: dict | None = None, reml: bool = False, n_agq: int = 1, lower=None, upper=None, group_lower=None, group_upper=None, refine: bool = False) -> NonlinearModel:
     """``mean_fn(x, params) -> (value, gradient)`` on plain numbers; probed once before the fit."""
     spec = parse_nlmer(formula, list(param_names))
-    return _fit(df, spec, custom_curve("custom", param_names, mean_fn), start, reml, n_agq, lower, upper, group_lower, group_upper)
+    return _fit(df, spec, custom_curve("custom", param_names, mean_fn), start, reml, n_agq, lower, upper, group_lower, group_upper, refine)
 
 
 def nls_by_key(df: DataFrame, key: str, x: str, y: str, curve: str) -> DataFrame:

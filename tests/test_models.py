@@ -347,6 +347,8 @@ def test_nonlinear(spark):
     assert math.sqrt(m.sigma2) == pytest.approx(0.3, abs=0.06) and math.sqrt(m.covariance[0, 0]) == pytest.approx(2, abs=1.2)
     r = m.fitted().agg(F.avg(F.col("residual") ** 2)).first()[0]
     assert r == pytest.approx(m.sigma2, rel=0.3) and m.ranef(spark).count() == 8
+    joint = sg.nlmer("y ~ SSlogis(x, Asym, xmid, scal) ~ Asym | g", d, refine=True)
+    assert joint.deviance <= m.deviance and joint.coefficients == pytest.approx(m.coefficients, rel=0.02)
     two = sg.nlmer("y ~ SSlogis(x, Asym, xmid, scal) ~ Asym + xmid | g", d)
     assert two.deviance <= m.deviance + 1e-3
 
