@@ -17,7 +17,6 @@ tables give no rows or no hits.  Other columns pass by unread.
 
 from __future__ import annotations
 
-import hashlib
 import re
 
 import numpy as np

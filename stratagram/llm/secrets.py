@@ -15,7 +15,6 @@ columns pass by unread.
 
 from __future__ import annotations
 
-import hashlib
 import re
 
 import pyarrow as pa
