@@ -132,26 +132,51 @@ def _merge(batches):
         yield pa.RecordBatch.from_arrays([*b.columns[:i], pa.array(n_hit, pa.int64())], names=[*b.schema.names[:i], "n_hit"])
 
 
+def _blocks(benchmark: DataFrame, window: int, block_bytes: int) -> list:
+    """Broadcasts of (items, window), each made of about ``block_bytes`` of the benchmark."""
+    spark = benchmark.sparkSession
+    items = benchmark.select("item_id", "text")
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
+    n = max(1, -(-size // block_bytes))
+    own = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
+    return [spark.sparkContext.broadcast(([tuple(r) for r in (items if n == 1 else items.where(own == k)).collect()], window)) for k in range(n)]
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs`` in which no window of any item occurs."""
+
+    def filter_by(broadcast):
+        def run(batches):
+            a = automaton(windows(*broadcast.value))
+            for batch in batches:
+                texts = batch.column(batch.schema.names.index("text")).cast(pa.binary())
+                clean = [scan(raw, a)[1] is None for at in range(0, batch.num_rows, 256) for raw in texts.slice(at, 256).to_pylist()]
+                yield batch.filter(pa.array(clean, pa.bool_()))
+
+        return run
+
+    for b in _blocks(benchmark, window, block_bytes):
+        docs = docs.mapInArrow(filter_by(b), docs.schema)
+    return docs
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """All columns of ``docs`` plus n_words, n_hit, items (sorted as strings), spans of the original text.
 
-    With several blocks ``spans`` lists each block's stretches and may overlap.
+    Columns of ``docs`` with those names are replaced.  With several blocks
+    ``spans`` lists each block's stretches and may overlap.
     """
     spark = docs.sparkSession
-    items = benchmark.select("item_id", "text")
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
-    blocks = max(1, -(-size // block_bytes))
+    docs = docs.drop("n_words", "n_hit", "hit", "items", "spans")
+    blocks = _blocks(benchmark, window, block_bytes)
     plain = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    if blocks == 1:  # collected and broadcast: at most block_bytes
-        b = spark.sparkContext.broadcast(([tuple(r) for r in items.collect()], window))
-        found = docs.mapInArrow(_scanner(b, docs.columns), f"{plain}, {_FOUND}")
+    if len(blocks) == 1:
+        found = docs.mapInArrow(_scanner(blocks[0], docs.columns), f"{plain}, {_FOUND}")
         return found.drop("hit")
     folder = WorkFolder(spark, "decontaminate")
     keyed = folder.materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
     parts = None
-    for k in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        b = spark.sparkContext.broadcast(([tuple(r) for r in block.collect()], window))
+    for k, b in enumerate(blocks):
         found = keyed.select("__row", "text").mapInArrow(_scanner(b, ["__row"]), f"__row long, {_FOUND}").where(F.col("hit").isNotNull() | (F.lit(k) == 0))
         part = folder.materialise(found, f"block{k}")
         parts = part if parts is None else parts.unionByName(part)
@@ -173,7 +198,7 @@ def op7_aho_corasick(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: documents with a benchmark window go."""
-    return find_contamination(docs, table(spark, sf_dir, "benchmark")).where(F.col("n_hit") == 0).select(*docs.columns)
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 _SQL_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

@@ -269,6 +269,22 @@ def score(docs: DataFrame, model: Classifier, *keep: str) -> DataFrame:
     return rows.mapInArrow(run, f"{kept}, score double")
 
 
+def accepted(docs: DataFrame, model: Classifier, least: float = ACCEPT) -> DataFrame:
+    """The rows of ``docs`` with a score of ``least`` or more."""
+    b = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        known, m = _Codes(), b.value
+        for batch in batches:
+            texts = batch.column(batch.schema.names.index("text"))
+            keep = [m.network.predict(pool(texts.slice(at, 256).to_pylist(), m.vectors, m.weights, known)) >= least for at in range(0, batch.num_rows, 256)]
+            if len(known) > REMEMBERED:
+                known = _Codes()
+            yield batch.filter(pa.array(np.concatenate(keep) if keep else [], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def _model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Classifier:
     labels = table(spark, sf_dir, "labels")
     return fit(docs, labels.where(id_remainder(labels["doc_id"], 4) != 2))
@@ -282,5 +298,4 @@ def op1_random_indexing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: documents with a score under ACCEPT go."""
-    model = _model(spark, docs, sf_dir)
-    return score(docs.withColumn("__id", F.col("doc_id")), model, *docs.columns).where(F.col("score") >= ACCEPT).select(*docs.columns)
+    return accepted(docs, _model(spark, docs, sf_dir))

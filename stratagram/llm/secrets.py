@@ -115,7 +115,11 @@ _SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end"
 
 
 def scan_secrets(docs: DataFrame) -> DataFrame:
-    """All columns of ``docs`` plus secrets: (kind, start, end, novelty) in code points, novelty in bytes a character."""
+    """All columns of ``docs`` plus secrets: (kind, start, end, novelty) in code points, novelty in bytes a character.
+
+    A column of that name is replaced.
+    """
+    docs = docs.drop("secrets")
     columns = docs.columns
     plain = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 

@@ -314,5 +314,5 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: one document of each group stays, the one of the smallest doc_id."""
     found = near_duplicates(docs)
-    stay = found.where(F.col("rid") == F.col("first.rid")).select("rid")
-    return docs.withColumn("rid", F.monotonically_increasing_id()).join(stay, "rid", "left_semi").select(*docs.columns)
+    stay = found.where(F.col("rid") == F.col("first.rid")).select(F.col("rid").alias("__rid"))
+    return docs.withColumn("__rid", F.monotonically_increasing_id()).join(stay, "__rid", "left_semi").select(*docs.columns)

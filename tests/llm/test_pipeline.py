@@ -2,6 +2,8 @@
 
 import hashlib
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from stratagram.llm import secrets
 from stratagram.llm.common import WorkFolder, table
@@ -44,9 +46,13 @@ def test_stages(spark, sf):
 
 def test_awkward_stage_inputs(spark, awkward):
     docs = table(spark, awkward, "documents")
+    for clash in ("rid", "score", "n_hit", "items", "secrets", "fp", "first"):
+        docs = docs.withColumn(clash, F.lit(7))
     folder = WorkFolder(spark, "test")
-    for name, stage in corpus_pipeline.STAGES[1:]:
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
         docs = folder.materialise(stage(spark, docs, awkward), name)
+        assert docs.columns == columns or name == "best_fit_packing"
     assert docs.count() > 0
 
 
