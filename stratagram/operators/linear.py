@@ -73,6 +73,17 @@ class PreparedLmer:
     data: DataFrame
     weights: str | None
 
+    @property
+    def blocked_kernel(self) -> bool:
+        """Whether several groupings are eliminated in blocks."""
+        return len(self.gram.factors) > 1
+
+    @property
+    def blocked_kernel_detail(self) -> str:
+        sizes = sorted(((f.s.shape[0] * len(f.effects), ":".join(f.group)) for f in self.gram.factors), reverse=True)
+        rest = sum(n for n, _ in sizes[1:])
+        return f"{sizes[0][1]} group by group ({sizes[0][0]} effects)" + (f", then {rest} effects of {', '.join(g for _, g in sizes[1:])} together" if rest else "")
+
     def fit(self, reml: bool = True, start=None) -> FittedModel:
         fit, count, ok = lmm.fit(self.gram, reml, start)
         return _assemble(self.design, self.gram, fit, "lmer", count, ok, self.data, self.weights)

@@ -124,6 +124,7 @@ def test_prepared_and_refit(df):
     p = sg.prepare_lmer("y ~ x + (1 | g)", df)
     a, b = p.fit(True), sg.lmer("y ~ x + (1 | g)", df)
     assert a.deviance == pytest.approx(b.deviance)
+    assert not p.blocked_kernel and sg.prepare_lmer("y ~ x + (1 | g) + (1 | h)", df).blocked_kernel_detail.startswith("g group by group")
     other = p.with_response(F.col("y") * 2.0 + 1.0).fit(True)
     assert other.theta == pytest.approx(a.theta, abs=1e-4)
 
