@@ -33,6 +33,31 @@ def lambdas(theta, gram) -> list[np.ndarray]:
     return out
 
 
+def _triangles(a: np.ndarray) -> np.ndarray:
+    """Cholesky triangles of many small matrices, entry by entry over all of them."""
+    k = a.shape[1]
+    out = np.zeros_like(a)
+    for j in range(k):
+        d = a[:, j, j] - (out[:, j, :j] ** 2).sum(axis=1)
+        if not (d > 0).all():
+            raise np.linalg.LinAlgError("not positive definite")
+        out[:, j, j] = np.sqrt(d)
+        for i in range(j + 1, k):
+            out[:, i, j] = (a[:, i, j] - (out[:, i, :j] * out[:, j, :j]).sum(axis=1)) / out[:, j, j]
+    return out
+
+
+def _forward(l: np.ndarray, c: np.ndarray) -> np.ndarray:  # noqa: E741
+    """Solutions of many small lower triangles."""
+    out = np.empty_like(c)
+    for j in range(l.shape[1]):
+        v = c[:, j]
+        for i in range(j):
+            v = v - l[:, j, i, None] * out[:, i]
+        out[:, j] = v / l[:, j, j, None]
+    return out
+
+
 class Solution:
     """The profile at one theta; ``x_tail`` columns of the sums are responses."""
 
@@ -44,13 +69,9 @@ class Solution:
         if f0 is not None:
             f, lam = gram.factors[f0], self.lam[f0]
             k = len(f.effects)
-            a = lam.T @ f.s @ lam + np.eye(k)
-            if k == 1:
-                self.l0 = np.sqrt(a)
-                self.r0 = lam[0, 0] * f.c / self.l0
-            else:
-                self.l0 = np.linalg.cholesky(a)
-                self.r0 = np.linalg.solve(self.l0, lam.T @ f.c)
+            a = (f.s.reshape(-1, k * k) @ np.kron(lam, lam)).reshape(-1, k, k) + np.eye(k)
+            self.l0 = _triangles(a)
+            self.r0 = _forward(self.l0, np.tensordot(f.c, lam, axes=([1], [0])).transpose(0, 2, 1))
             self.logdet += 2 * np.log(np.diagonal(self.l0, axis1=1, axis2=2)).sum()
             s -= np.tensordot(self.r0, self.r0, axes=([0, 1], [0, 1]))
         if self.rest:
