@@ -165,10 +165,35 @@ def write_monolithic(records: DataFrame, folder: str) -> DataFrame:
     return rows.mapInArrow(run, "file string")
 
 
-def normalise(files: DataFrame, folder: str, level: int = 6) -> DataFrame:
+def _rewrite(fs, source: str, target: str, level: int) -> list[tuple]:
+    """One file, member by member, and its sidecar; its index."""
+    offset, index = 0, []
+    with _Whole(target) as out, fs.open_input_stream(source, compression=None) as stream:
+        for raw in split_stream(inflate(stream)):
+            z = zlib.compressobj(level, zlib.DEFLATED, 31)
+            member = z.compress(raw) + z.flush()
+            out.write(member)
+            found = re.search(rb"(?im)^warc-record-id:[ \t]*(\S+)", raw[: raw.find(b"\r\n\r\n")])
+            index.append((target, offset, len(member), found[1].decode() if found else None))
+            offset += len(member)
+    with _Whole(target + ".idx") as out:
+        out.write("".join(f"{o} {n} {r or '-'}\n" for _, o, n, r in index).encode())
+    return index
+
+
+def _sidecar(target: str) -> list[tuple]:
+    fs, path = _fs(target + ".idx")
+    with fs.open_input_stream(path, compression=None) as stream:
+        lines = stream.read().decode().splitlines()
+    return [(target, int(o), int(n), None if r == "-" else r) for o, n, r in (x.split(" ") for x in lines)]
+
+
+def normalise(files: DataFrame, folder: str, level: int = 6, consume: bool = False) -> DataFrame:
     """Rewrite each file member by member below ``folder``; the index: (file, offset, length, record_id).
 
-    The same index is written beside each file as ``<file>.idx``, a line per record.
+    The same index is written beside each file as ``<file>.idx``, a line per
+    record.  ``consume`` deletes a source when its copy and index are whole; a
+    task that runs again finds the copy and takes its index.
     """
 
     def run(batches):
@@ -176,17 +201,12 @@ def normalise(files: DataFrame, folder: str, level: int = 6) -> DataFrame:
             for source in batch.column(0).to_pylist():
                 fs, at = _fs(source)
                 target = f"{folder}/{source.rsplit('/', 1)[-1]}"
-                offset, index = 0, []
-                with _Whole(target) as out, fs.open_input_stream(at, compression=None) as stream:
-                    for raw in split_stream(inflate(stream)):
-                        z = zlib.compressobj(level, zlib.DEFLATED, 31)
-                        member = z.compress(raw) + z.flush()
-                        out.write(member)
-                        found = re.search(rb"(?im)^warc-record-id:[ \t]*(\S+)", raw[: raw.find(b"\r\n\r\n")])
-                        index.append((target, offset, len(member), found[1].decode() if found else None))
-                        offset += len(member)
-                with _Whole(target + ".idx") as out:
-                    out.write("".join(f"{o} {n} {r}\n" for _, o, n, r in index).encode())
+                if consume and fs.get_file_info(at).type == pafs.FileType.NotFound:
+                    index = _sidecar(target)
+                else:
+                    index = _rewrite(fs, at, target, level)
+                    if consume:
+                        fs.delete_file(at)
                 for i in range(0, len(index), 5000):
                     c = list(zip(*index[i : i + 5000]))
                     yield pa.RecordBatch.from_arrays([pa.array(c[0]), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.string())], names=["file", "offset", "length", "record_id"])
@@ -198,7 +218,7 @@ def read_index(spark: SparkSession, folder: str) -> DataFrame:
     """The sidecar index of every file below ``folder``."""
     lines = spark.read.text(f"{folder}/*.idx").select("value", F.regexp_replace(F.input_file_name(), r"\.idx$", "").alias("file"))
     parts = F.split("value", " ")
-    return lines.select("file", parts[0].cast("long").alias("offset"), parts[1].cast("long").alias("length"), parts[2].alias("record_id"))
+    return lines.select("file", parts[0].cast("long").alias("offset"), parts[1].cast("long").alias("length"), F.nullif(parts[2], F.lit("-")).alias("record_id"))
 
 
 def _row(raw: bytes) -> tuple:
@@ -262,7 +282,7 @@ def archive_pages(pages: DataFrame, folder: WorkFolder) -> DataFrame:
     """Write ``pages`` (page_id, url, html) as indexed archives below ``folder``; the index, stored."""
     files = folder.materialise(write_monolithic(with_revisits(pages), f"{folder}/whole"), "files")
     # A file to a task: names are short, and a stream can only be read from its start.
-    index = folder.materialise(normalise(files.repartition(shuffle_parts(pages.sparkSession)), f"{folder}/members"), "index")
+    index = folder.materialise(normalise(files.repartition(shuffle_parts(pages.sparkSession)), f"{folder}/members", consume=True), "index")
     folder.remove("whole")
     return index
 
