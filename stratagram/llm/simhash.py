@@ -52,19 +52,25 @@ PAIRS_AT_ONCE = 1 << 19
 # ---------------------------------------------------------------- fingerprints
 
 
-def fingerprint(raw: bytes, shingle: int = SHINGLE) -> int:
-    """64 bits; bit i is set if over half of the shingles' hashes have it."""
+def shingle_hashes(raw: bytes, shingle: int) -> np.ndarray:
+    """A hash of each run of ``shingle`` words; of all words if they are fewer, none if there are no words."""
     words = raw.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, dtype="<u8")
     joined = b" ".join(words)
     if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(joined, SEED)
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], dtype="<u8")
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     begins = np.concatenate([[0], ends[:-1] + 1])
     digest = xxhash.xxh64_intdigest
     n = len(words) - shingle + 1
-    h = np.fromiter((digest(joined[i:j], SEED) for i, j in zip(begins[:n].tolist(), ends[shingle - 1 :].tolist())), dtype="<u8", count=n)
+    return np.fromiter((digest(joined[i:j], SEED) for i, j in zip(begins[:n].tolist(), ends[shingle - 1 :].tolist())), dtype="<u8", count=n)
+
+
+def fingerprint(raw: bytes, shingle: int = SHINGLE) -> int:
+    """64 bits; bit i is set if over half of the shingles' hashes have it."""
+    h = shingle_hashes(raw, shingle)
+    n = len(h)
     total = np.zeros(64, dtype=np.int64)
     for at in range(0, n, 1 << 16):
         total += np.unpackbits(h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -298,7 +304,11 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, blocks: int = B
     prints = folder.materialise(fingerprints(docs, shingle), "prints")
     one = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("first"))
     one = folder.materialise(one, "distinct")
-    roots = components(links(one.select("fp"), threshold, blocks), folder)
+    return _firsts(prints, one, components(links(one.select("fp"), threshold, blocks), folder))
+
+
+def _firsts(prints: DataFrame, one: DataFrame, roots: DataFrame) -> DataFrame:
+    """(doc_id, rid, fp, first), by the components of the distinct ``fp``."""
     rooted = one.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     linked = rooted.join(roots.select("root").distinct(), "root", "left_semi")
     firsts = linked.groupBy("root").agg(F.min("first").alias("least"))
@@ -309,10 +319,3 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, blocks: int = B
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
-
-
-def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline: one document of each group stays, the one of the smallest doc_id."""
-    found = near_duplicates(docs)
-    stay = found.where(F.col("rid") == F.col("first.rid")).select(F.col("rid").alias("__rid"))
-    return docs.withColumn("__rid", F.monotonically_increasing_id()).join(stay, "__rid", "left_semi").select(*docs.columns)
