@@ -1,7 +1,7 @@
 """Secret scan by dictionary-primed zstandard novelty.
 
-Candidates are long unbroken strings after a word that speaks of secrets.
-For each, the marginal compressed bytes are measured: the surrounding text is
+Candidates are all long unbroken strings in reach of a word that speaks of
+secrets.  For each, the marginal compressed bytes are measured: the surrounding text is
 compressed alone and with the candidate, both primed with a dictionary of code
 words and identifiers.  What the dictionary and the surroundings can't
 predict, an incompressible string, is reported as kind ``novel``.  Three fixed
@@ -37,6 +37,8 @@ KINDS = ("assign", "access", "hex", "novel")
 SENSITIVE = re.compile(r"(?:passw(?:or)?d|passphrase|secret|token|api[_-]?key|credential|private[_-]?key|access[_-]?key|auth(?:orization)?|bearer|signature)", re.IGNORECASE | re.ASCII)
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}", re.ASCII)
 REACH = 48
+#: What joins two candidates to one secret: segments of a token, lines of a block.
+JOINT = re.compile(r"\.?(?:\r?\n[ \t]*)?")
 #: Code points of text on either side that prime the measure.
 SURROUNDINGS = 256
 #: A candidate is incompressible if it adds this many bytes a character or more.
@@ -82,21 +84,29 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def novel_spans(text: str, taken: list[tuple[int, int, str]], novelty: Novelty) -> list[tuple[int, int, str]]:
-    """Incompressible strings in sensitive surroundings that overlap no span of ``taken``."""
-    out, at = [], 0
+    """Incompressible strings in sensitive surroundings that overlap no span of ``taken``.
+
+    Every candidate that starts within reach of a word is measured, on any line.  A candidate's own characters and
+    what joins the next one to it don't count as reach, nor does what lies between a word and a candidate measured already.
+    """
+    out, at, m = [], 0, CANDIDATE.search(text)
     for word in SENSITIVE.finditer(text):
-        line = text.find("\n", word.end(), word.end() + REACH + 1)
-        limit = line if line >= 0 else min(len(text), word.end() + REACH)
-        m = CANDIDATE.search(text, max(at, word.end()))
-        if not m or m.start() > limit:
-            continue
-        a, b = m.span()
-        at = b
-        if any(a < y and x < b for x, y, _ in taken) or re.fullmatch(r"[A-Za-z]+|\d+|(.)\1*", m[0]):
-            continue
-        raw = m[0].encode()
-        if novelty.marginal(text[max(0, a - SURROUNDINGS) : a].encode(), raw, text[b : b + SURROUNDINGS].encode()) >= NOVEL * len(raw):
-            out.append((a, b, "novel"))
+        at = max(at, word.end())
+        limit = at + REACH
+        while m:
+            if m.start() < at:
+                m = CANDIDATE.search(text, at)
+                continue
+            if m.start() > limit:
+                break
+            a, b = m.span()
+            limit += JOINT.match(text, b).end() - a
+            at = b
+            if any(a < y and x < b for x, y, _ in taken):
+                continue
+            raw = m[0].encode()
+            if novelty.marginal(text[max(0, a - SURROUNDINGS) : a].encode(), raw, text[b : b + SURROUNDINGS].encode()) >= NOVEL * len(raw):
+                out.append((a, b, "novel"))
     return out
 
 
