@@ -4,7 +4,8 @@ Candidates are all long unbroken strings in reach of a word that speaks of
 secrets.  For each, the marginal compressed bytes are measured: the surrounding text is
 compressed alone and with the candidate, both primed with a dictionary of code
 words and identifiers.  What the dictionary and the surroundings can't
-predict, an incompressible string, is reported as kind ``novel``.  Three fixed
+predict, an incompressible string, is reported as kind ``novel``, wherever it
+occurs in the text; its other copies count as blank surroundings.  Three fixed
 patterns (kinds assign, access, hex) are always reported; their novelty is
 measured too.
 
@@ -15,6 +16,8 @@ columns pass by unread.
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import re
 
 import pyarrow as pa
@@ -72,6 +75,14 @@ class Novelty:
         around = before + b"\n" + after + b"\n"
         return len(self.compress(around + candidate)) - len(self.compress(around))
 
+    def measure(self, text: str, a: int, b: int) -> int:
+        """The marginal bytes of text[a:b] in its surroundings, where its other copies are blank."""
+        own, n = text[a:b], b - a
+        # A copy that the surroundings cut is blank too.
+        before = text[max(0, a - SURROUNDINGS - n) : a].replace(own, " " * n)[-SURROUNDINGS:]
+        after = text[b : b + SURROUNDINGS + n].replace(own, " " * n)[:SURROUNDINGS]
+        return self.marginal(before.encode(), own.encode(), after.encode())
+
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) by the fixed patterns."""
@@ -104,9 +115,23 @@ def novel_spans(text: str, taken: list[tuple[int, int, str]], novelty: Novelty)
             at = b
             if any(a < y and x < b for x, y, _ in taken):
                 continue
-            raw = m[0].encode()
-            if novelty.marginal(text[max(0, a - SURROUNDINGS) : a].encode(), raw, text[b : b + SURROUNDINGS].encode()) >= NOVEL * len(raw):
+            if novelty.measure(text, a, b) >= NOVEL * (b - a):
                 out.append((a, b, "novel"))
+    return _everywhere(text, taken, out)
+
+
+def _everywhere(text: str, taken: list[tuple[int, int, str]], novel: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """``novel`` and every other occurrence of its strings that overlaps none of ``taken`` and ``novel``."""
+    if not novel:
+        return novel
+    out, held = list(novel), sorted((a, b) for a, b, _ in taken + novel)
+    # Of two strings that begin at one place the longer is found.
+    strings = sorted({text[a:b] for a, b, _ in novel}, key=len, reverse=True)
+    begins, reach = [a for a, _ in held], list(itertools.accumulate((b for _, b in held), max))
+    for m in re.finditer("|".join(map(re.escape, strings)), text):
+        k = bisect.bisect_left(begins, m.end())
+        if not k or reach[k - 1] <= m.start():
+            out.append((*m.span(), "novel"))
     return out
 
 
@@ -141,7 +166,7 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
             for i in pc.indices_nonzero(pc.fill_null(pc.match_substring_regex(texts, _ANY), False)).to_pylist():
                 text = texts[i].as_py()
                 out[i] = [
-                    {"kind": k, "start": a, "end": b, "novelty": novelty.marginal(text[max(0, a - SURROUNDINGS) : a].encode(), text[a:b].encode(), text[b : b + SURROUNDINGS].encode()) / (b - a)}
+                    {"kind": k, "start": a, "end": b, "novelty": novelty.measure(text, a, b) / (b - a)}
                     for a, b, k in find_spans(text, novelty)
                 ]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, _SPAN)], names=[*columns, "secrets"])
