@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -76,6 +77,9 @@ class PreparedGlmer:
         if refine:
             s, theta, more, ok = glmm.refine(d, self.family, self.link, theta, s, self.n_agq)
             count += more
+        used = glmm.order_used(d, sum(v.size for v in s.u), self.n_agq)[1] if d.layout else self.n_agq
+        if used < self.n_agq:
+            warnings.warn(f"n_agq={self.n_agq} has too many points for these random effects; {f'order {used} was used' if used > 1 else 'the fit is Laplace'}", stacklevel=2)
         p = d.x.shape[1]
         phi = s.phi if self.family.dispersion else None
         sigma2 = s.dev / float(d.w.sum()) if self.family.dispersion else None
@@ -83,7 +87,7 @@ class PreparedGlmer:
         return FittedModel(
             design=self.design, kind="glmer", coefficients=s.beta, v_unscaled=np.linalg.inv(s.sol.s[:p, :p]), sigma2=sigma2, theta=theta, deviance=s.deviance, reml=False, num_obs=d.n,
             labels=[f.labels for f in d.factors], b=s.b, u=s.u, covariance=cov, factors=d.factors, layout=d.layout, n_params=len(theta) + p, converged=ok, iterations=count, family=self.family, link=self.link, phi=phi, data=self.data, weights=self.weights,
-            log_likelihood=-s.deviance / 2, extra={"patterns": d, "n_agq": self.n_agq},
+            log_likelihood=-s.deviance / 2, extra={"patterns": d, "n_agq": self.n_agq, "n_agq_used": used},
         )
 
     def with_response(self, response: Column) -> "PreparedGlmer":

@@ -22,6 +22,20 @@ NODES_ALLOWED = (1, 3, 5, 7, 9, 11)
 MOST_GRID, MOST_JOINT, JOINT_EFFECTS = 400, 7000, 8
 
 
+def grid_order(nodes: int, dimensions: int, most: int) -> int:
+    """The largest order up to ``nodes`` whose grid has at most ``most`` points; 1 (Laplace) if none has."""
+    lower = [n for n in reversed(NODES_ALLOWED) if n < nodes]
+    return next((n for n in (nodes, *lower) if n**dimensions <= most), 1)
+
+
+def order_used(d: Patterns, q: int, nodes: int) -> tuple[bool, int]:
+    """(by group, order) of the quadrature with ``q`` random effects in all: by group for one grouping, else jointly."""
+    by_group = grid_order(nodes, sum(len(f.effects) for f in d.factors), MOST_GRID) if len(d.factors) == 1 else 1
+    if by_group > 1:
+        return True, by_group
+    return False, grid_order(nodes, q, MOST_JOINT) if q <= JOINT_EFFECTS else 1
+
+
 @dataclass
 class Patterns:
     x: np.ndarray  # (r, p)
@@ -132,14 +146,17 @@ def profile(d: Patterns, fam: Family, lk: Link, theta, nodes: int = 1, start: St
 
 
 def quadrature(d: Patterns, fam: Family, lk: Link, s: State, nodes: int) -> float:
-    """Adaptive Gauss-Hermite in place of Laplace: one grouping by group, several jointly if small."""
+    """Adaptive Gauss-Hermite in place of Laplace: one grouping by group, several jointly if small, in the highest order that fits."""
     k = sum(len(f.effects) for f in d.factors)
     q = sum(v.size for v in s.u)
+    by_group, nodes = order_used(d, q, nodes)
+    if nodes == 1:
+        return s.deviance
     x, w = hermite_nodes(nodes)
     base = d.x @ s.beta + d.offset
     dev = lambda eta: fam.deviance(d.y, lk.inverse(eta, NUMPY), d.w, NUMPY) / s.phi
     fit0 = (fam.aic(d.y, s.mu, d.w, s.dev) - 2 if fam.dispersion else s.dev) - s.dev / s.phi
-    if len(d.factors) == 1 and nodes**k <= MOST_GRID:
+    if by_group:
         f, g, lam = d.factors[0], d.groups[0], s.sol.lam[0]
         m = len(f.labels)
         half = np.linalg.inv(s.sol.l0).transpose(0, 2, 1)  # A^(-1/2) by group
@@ -155,22 +172,20 @@ def quadrature(d: Patterns, fam: Family, lk: Link, s: State, nodes: int) -> floa
         top = logs.max(axis=0)
         lse = top + np.log(np.exp(logs - top).sum(axis=0))
         return float(-2 * lse.sum() + s.logdet + fit0)
-    if q <= JOINT_EFFECTS and nodes**q <= MOST_JOINT:
-        a = np.eye(q)
-        at = np.concatenate([[0], np.cumsum([v.size for v in s.u])])
-        design = np.zeros((len(d.y), q))
-        for i, (g, z) in enumerate(zip(d.groups, d.z)):
-            zl = z @ s.sol.lam[i]
-            for j in range(zl.shape[1]):
-                design[np.arange(len(g)), at[i] + g * zl.shape[1] + j] += zl[:, j]
-        a += (design * s.w[:, None]).T @ design
-        half, u0 = np.linalg.inv(np.linalg.cholesky(a)).T, np.concatenate([v.ravel() for v in s.u])
-        grid = np.stack([v.ravel() for v in np.meshgrid(*[x] * q, indexing="ij")], axis=1)
-        weight = np.prod(np.stack([v.ravel() for v in np.meshgrid(*[w] * q, indexing="ij")], axis=1), axis=1)
-        logs = np.array([math.log(wt) + 0.5 * (pt @ pt) - 0.5 * (dev(base + design @ (u0 + half @ pt)).sum() + ((u0 + half @ pt) ** 2).sum()) for pt, wt in zip(grid, weight)])
-        top = logs.max()
-        return float(-2 * (top + math.log(np.exp(logs - top).sum())) + s.logdet + fit0)
-    return s.deviance
+    a = np.eye(q)
+    at = np.concatenate([[0], np.cumsum([v.size for v in s.u])])
+    design = np.zeros((len(d.y), q))
+    for i, (g, z) in enumerate(zip(d.groups, d.z)):
+        zl = z @ s.sol.lam[i]
+        for j in range(zl.shape[1]):
+            design[np.arange(len(g)), at[i] + g * zl.shape[1] + j] += zl[:, j]
+    a += (design * s.w[:, None]).T @ design
+    half, u0 = np.linalg.inv(np.linalg.cholesky(a)).T, np.concatenate([v.ravel() for v in s.u])
+    grid = np.stack([v.ravel() for v in np.meshgrid(*[x] * q, indexing="ij")], axis=1)
+    weight = np.prod(np.stack([v.ravel() for v in np.meshgrid(*[w] * q, indexing="ij")], axis=1), axis=1)
+    logs = np.array([math.log(wt) + 0.5 * (pt @ pt) - 0.5 * (dev(base + design @ (u0 + half @ pt)).sum() + ((u0 + half @ pt) ** 2).sum()) for pt, wt in zip(grid, weight)])
+    top = logs.max()
+    return float(-2 * (top + math.log(np.exp(logs - top).sum())) + s.logdet + fit0)
 
 
 def refine(d: Patterns, fam: Family, lk: Link, theta, s: State, nodes: int = 1):

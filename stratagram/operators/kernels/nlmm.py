@@ -13,6 +13,7 @@ import numpy as np
 
 from ...functions.curves import Curve
 from ...functions.special import hermite_nodes
+from .glmm import MOST_GRID, grid_order
 from .optimize import nelder_mead, scalar
 
 
@@ -107,7 +108,8 @@ class Problem:
             c = np.stack([np.bincount(d.group, v, self.m) for v in (z[:, :, None] * grad[:, None, :] * d.w[:, None, None]).reshape(-1, k * self.p).T], axis=1).reshape(-1, k, self.p)
             v = (grad * d.w[:, None]).T @ grad - np.einsum("mkp,mkq->pq", c, np.linalg.solve(s, c))
             value += np.linalg.slogdet(v)[1]
-        if nodes > 1 and nodes**k <= 400:
+        nodes = grid_order(nodes, k, MOST_GRID)
+        if nodes > 1:
             x, w = hermite_nodes(nodes)
             half = np.linalg.inv(np.linalg.cholesky(s)).transpose(0, 2, 1)
             u0 = np.linalg.solve(lam, b.T).T

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import warnings
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -195,6 +196,9 @@ def _fit(df, spec: NlFormula, curve: Curve, start, reml, n_agq, lower, upper, gr
         except (ValueError, np.linalg.LinAlgError):
             pooled = own
         starts = [pooled, own] if np.all(np.isfinite(pooled)) else [own]
+    used = nlmm.grid_order(n_agq, len(spec.random), nlmm.MOST_GRID)
+    if used < n_agq:
+        warnings.warn(f"n_agq={n_agq} has too many points for {len(spec.random)} random parameters; {f'order {used} was used' if used > 1 else 'the fit is Laplace'}", stacklevel=3)
     found = nlmm.fit(problem, starts, n_agq)
     theta, beta, b, sigma2, dev, n, ok = nlmm.refine(problem, found, n_agq) if refine else found
     return NonlinearModel(spec.text, spec, curve, beta, theta, b, data.labels, sigma2, dev, data.n, reml, ok, n, df)
