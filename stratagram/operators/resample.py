@@ -22,8 +22,8 @@ from .gram import Gram, _matrix, _pairs, _sums, build_gram, design_rows, factors
 from .kernels import glmm, lmm
 from .model import FittedModel
 
-#: Residuals that a residual bootstrap draws from; a larger table gives a random sample of so many.
-MOST_RESIDUALS = 1_000_000
+#: Rows that a residual bootstrap takes: all residuals go to every task. A longer table is refused.
+MOST_RESIDUALS = 20_000_000
 
 
 def draw(rng, family: str, mu, sigma2, w):
@@ -132,8 +132,9 @@ def _boot_lmm(model: FittedModel, data: DataFrame, nsim: int, method: str, seed:
     pool = None
     if method == "residual":
         n = model.num_obs
-        take = scored if n <= MOST_RESIDUALS else scored.sample(MOST_RESIDUALS / n, seed)
-        pool = spark.sparkContext.broadcast(take.select("residual").toPandas()["residual"].to_numpy())
+        if n > MOST_RESIDUALS:
+            raise ModelError(f"a residual bootstrap draws from all residuals and takes {MOST_RESIDUALS} rows at most; the table has {n}")
+        pool = spark.sparkContext.broadcast(scored.select("residual").toPandas()["residual"].to_numpy())
     fitted = F.col("fitted") - design.offset_column() - F.lit(design.shift) if design.offset else F.col("fitted") - F.lit(design.shift)
     rows, e = design_rows(scored, design, factors, model.weights, keep=(fitted.alias("fit"),))
     width = max([len(e.x) + 1, *map(len, e.z)])
