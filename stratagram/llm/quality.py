@@ -1,22 +1,27 @@
 """Quality classifier: random-indexing word vectors, a two-layer network.
 
-Words get vectors by random indexing: every word has a sparse random index
-vector, and a word's context vector is the sum of its neighbours' index
+A text is a stream of words: its tokens, after each token that isn't plain
+lower case a word for its shape (capitals, digits, doubled marks, ...), after a
+token that was said just before, or with one between, a word for that, and at
+the end a word for lines said before, as often as their share of the lines in
+tokens.  Words get vectors by random indexing: every word has a sparse random
+index vector, and its context vector is the sum of its neighbours' index
 vectors over the whole corpus.  Words are hashed into ``BUCKETS`` buckets, so
 the table of vectors has a fixed size however large the corpus; each task adds
-up its own and the sums are added by key.  A document is the frequency-weighted
-mean of its words' vectors beside the mean of its marks' vectors (shapes of
-words, a word said twice running or with one between, a line said again).  A two-layer numpy
-network gives the probability of label 1; a temperature fitted on rows that it
-wasn't trained on calibrates it.
+up its own and the sums are added by key.  A document is the mean of its
+stream's vectors.  A two-layer numpy network gives the probability of label 1;
+a temperature fitted on rows that it wasn't trained on calibrates it.
 
 The network is fitted on at most ``SAMPLE_ROWS`` labelled rows, the first by a
-hash of doc_id.  Word statistics and scores cover all rows and whole texts.
+hash of doc_id; of a labelled doc_id with several texts the least text counts.
+Word statistics and scores cover all rows and whole texts.
 
 Null text counts as empty; an empty text has the zero vector and a score like
-any other.  Labels that are null are left out; without labels of both kinds
-the score is the share of label 1 (0.5 without any).  Repeated rows are kept.
-An empty table gives no rows.  Other columns are ignored.
+any other.  Very long texts are read whole, one at a time.  Labels that are
+null are left out; without labels of both kinds the score is the share of
+label 1 (0.5 without any).  A doc_id with both labels teaches both.  Repeated
+rows are kept, and equal texts have equal scores.  An empty table gives no
+rows.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -45,36 +50,59 @@ SEED = 20240607
 #: Rows of the table that one key of the sum holds.
 CHUNK = 256
 REMEMBERED = 400_000
+#: Words of streams that are added up at once.
+AT_ONCE = 1 << 18
 
 _TOKENS = re.compile(r"\w+|[^\w\s]+").findall
 _SHAPE_BITS = 20
-SHAPES = 16
-_AGAIN, _LINE, _AFTER_ONE = SHAPES, SHAPES + 1, SHAPES + 2
-MARKS = SHAPES + 3
+_BUCKET = (1 << _SHAPE_BITS) - 1
+
+
+def bucket(word: str) -> int:
+    return zlib.crc32(word.encode("utf-8", "surrogatepass")) % BUCKETS
+
+
+#: Words that no token can be: one for each shape (none for plain lower case and single marks), repeats and lines.
+_SHAPES = ("", "capital", "upper", "digits", "mixed", "marks", "symbol")
+_SHAPE_AT = np.array([-1] + [bucket(f" {name}") for name in _SHAPES[1:]])
+_AGAIN, _AFTER_ONE, _LINE = bucket(" again"), bucket(" after one"), bucket(" line")
 
 
 def shape(token: str) -> int:
-    """0 lower case, 1 capital first, 2 upper case, 3 digits, 4 other words, 5 to 15 marks by first character."""
+    """An index of _SHAPES; 0 for lower case and the common single marks."""
     if token[0].isalnum() or token[0] == "_":
         return 3 if token.isdigit() else 2 if token.isupper() and len(token) > 1 else 0 if token.islower() else 1 if token[0].isupper() and token[1:].islower() or token.isupper() else 4
-    if len(token) > 1:
-        return 5
-    return 6 + ".,;:!?|\"'".find(token) if token in ".,;:!?|\"'" else 15
+    return 5 if len(token) > 1 else 0 if token in ".,;:!?|\"'" else 6
 
 
 class _Codes(dict):
     """token -> shape and bucket in one number."""
 
     def __missing__(self, token):
-        code = shape(token) << _SHAPE_BITS | zlib.crc32(token.lower().encode("utf-8", "surrogatepass")) % BUCKETS
+        code = shape(token) << _SHAPE_BITS | bucket(token.lower())
         if len(token) <= 32:
             self[token] = code
         return code
 
 
-def _codes(known: _Codes, text: str) -> np.ndarray:
-    tokens = _TOKENS(text)
-    return np.fromiter(map(known.__getitem__, tokens), dtype=np.int64, count=len(tokens))
+def stream(known: _Codes, text: str | None) -> np.ndarray:
+    """The buckets of a text's words in order."""
+    tokens = _TOKENS(text) if text else ()
+    n = len(tokens)
+    if not n:
+        return np.zeros(0, dtype=np.int64)
+    codes = np.fromiter(map(known.__getitem__, tokens), dtype=np.int64, count=n)
+    words = np.full((n, 3), -1, dtype=np.int64)
+    words[:, 0] = codes & _BUCKET
+    words[:, 1] = _SHAPE_AT[codes >> _SHAPE_BITS]
+    same = codes & _BUCKET
+    words[2:, 2] = np.where(same[2:] == same[:-2], _AFTER_ONE, -1)
+    words[1:, 2] = np.where(same[1:] == same[:-1], _AGAIN, words[1:, 2])
+    words = words.ravel()
+    words = words[words >= 0]
+    lines = text.split("\n")
+    said = len(lines) - len(set(lines))
+    return np.concatenate([words, np.full(max(1, round(said / len(lines) * n)), _LINE)]) if said else words
 
 
 def index_vectors(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -90,32 +118,37 @@ def _dense(places, signs) -> np.ndarray:
     return out
 
 
+def add_contexts(streams: list[np.ndarray], sums: np.ndarray, places: np.ndarray, signs: np.ndarray) -> None:
+    """Counts of the words and index vectors of their neighbours, added to ``sums``."""
+    # Documents are set apart by as many gaps as a window is wide.
+    gap = np.full(NEIGHBOURS, -1, dtype=np.int64)
+    w = np.concatenate([x for s in streams for x in (s, gap)])
+    sums[:, 0] += np.bincount(w[w >= 0], minlength=BUCKETS)
+    for d in range(1, NEIGHBOURS + 1):
+        a, b = w[:-d], w[d:]
+        ok = (a >= 0) & (b >= 0)
+        a, b = a[ok] * DIMENSIONS, b[ok] * DIMENSIONS
+        for word, other in ((a, b // DIMENSIONS), (b, a // DIMENSIONS)):
+            for k in range(NONZERO):
+                sums[:, 1:] += np.bincount(word + places[other, k], signs[other, k], minlength=BUCKETS * DIMENSIONS).reshape(BUCKETS, DIMENSIONS)
+
+
 def _contexts(batches):
     """text -> this task's sums, CHUNK buckets to a row: counts, then context vectors."""
     places, signs = index_vectors(BUCKETS, SEED)
     sums = np.zeros((BUCKETS, DIMENSIONS + 1))
-    known = _Codes()
+    known, held, size = _Codes(), [], 0
     for batch in batches:
-        texts = batch.column(0)
-        for at in range(0, batch.num_rows, 256):
-            codes = [_codes(known, t) if t else np.zeros(0, np.int64) for t in texts.slice(at, 256).to_pylist()]
-            if len(known) > REMEMBERED:
-                known = _Codes()
-            # Documents are set apart by as many gaps as a window is wide.
-            gap = np.full(NEIGHBOURS, -1, dtype=np.int64)
-            w = np.concatenate([x for c in codes for x in (c & ((1 << _SHAPE_BITS) - 1), gap)])
-            sums[:, 0] += np.bincount(w[w >= 0], minlength=BUCKETS)
-            flat, weight = [], []
-            for d in range(1, NEIGHBOURS + 1):
-                a, b = w[:-d], w[d:]
-                ok = (a >= 0) & (b >= 0)
-                a, b = a[ok], b[ok]
-                for word, other in ((a, b), (b, a)):
-                    for k in range(NONZERO):
-                        flat.append(word * DIMENSIONS + places[other, k])
-                        weight.append(signs[other, k])
-            if flat:
-                sums[:, 1:] += np.bincount(np.concatenate(flat), np.concatenate(weight), minlength=BUCKETS * DIMENSIONS).reshape(BUCKETS, DIMENSIONS)
+        for text in batch.column(0):
+            held.append(stream(known, text.as_py()))
+            size += len(held[-1])
+            if size >= AT_ONCE:
+                add_contexts(held, sums, places, signs)
+                held, size = [], 0
+                if len(known) > REMEMBERED:
+                    known = _Codes()
+    if held:
+        add_contexts(held, sums, places, signs)
     parts = sums.astype("<f4").reshape(-1, CHUNK * (DIMENSIONS + 1))
     if sums[:, 0].any():
         yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["chunk", "sums"])
@@ -136,8 +169,8 @@ def _adder(kind: str):
     return run
 
 
-def word_vectors(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(vectors, weights) by bucket, from all documents.  The table's size is fixed: BUCKETS rows."""
+def word_vectors(docs: DataFrame) -> np.ndarray:
+    """Vectors by bucket, from all documents.  The table's size is fixed: BUCKETS rows."""
     schema = "chunk int, sums binary"
     parts = docs.select(docs["text"]).mapInArrow(_contexts, schema).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(64)))
     # In two steps, so that no task adds up the sums of all tasks.
@@ -148,36 +181,25 @@ def word_vectors(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return finish_vectors(sums)
 
 
-def finish_vectors(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def finish_vectors(sums: np.ndarray) -> np.ndarray:
+    """Context vectors less what chance would give, at length 1, plus half a word's own index vector."""
     counts, contexts = sums[:, 0], sums[:, 1:]
-    total = max(1.0, counts.sum())
-    mean = contexts.sum(axis=0) / total
+    mean = contexts.sum(axis=0) / max(1.0, counts.sum())
     vectors = contexts - counts[:, None] * mean
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
     vectors += 0.5 * _dense(*index_vectors(BUCKETS, SEED))
-    return vectors.astype(np.float32), (1e-3 / (1e-3 + counts / total)).astype(np.float32)
+    return vectors.astype(np.float32)
 
 
-def pool(texts: list[str | None], vectors: np.ndarray, weights: np.ndarray, known: _Codes) -> np.ndarray:
-    """A row per text: the mean of its words' vectors, then of its marks'."""
-    marks = _dense(*index_vectors(MARKS, SEED + 1))
-    out = np.zeros((len(texts), 2 * DIMENSIONS), dtype=np.float32)
-    mask = (1 << _SHAPE_BITS) - 1
+def pool(texts: list[str | None], vectors: np.ndarray, known: _Codes) -> np.ndarray:
+    """A row per text: the mean of its stream's vectors."""
+    out = np.zeros((len(texts), DIMENSIONS), dtype=np.float32)
     for i, text in enumerate(texts):
-        codes = _codes(known, text) if text else ()
-        if not len(codes):
-            continue
-        w = codes & mask
-        used, n = np.unique(w, return_counts=True) if len(w) > 64 else (w, np.ones(len(w)))
-        weight = weights[used] * n
-        out[i, :DIMENSIONS] = weight @ vectors[used] / weight.sum()
-        share = np.zeros(MARKS, dtype=np.float32)
-        share[:SHAPES] = np.bincount(codes >> _SHAPE_BITS, minlength=SHAPES) / len(codes)
-        share[_AGAIN] = np.count_nonzero(codes[1:] == codes[:-1]) / len(codes)
-        share[_AFTER_ONE] = np.count_nonzero((codes[2:] == codes[:-2]) & (codes[2:] != codes[1:-1])) / len(codes)
-        lines = text.split("\n")
-        share[_LINE] = 1 - len(set(lines)) / len(lines)
-        out[i, DIMENSIONS:] = share @ marks
+        words = stream(known, text)
+        if len(words) > BUCKETS:
+            out[i] = np.bincount(words, minlength=BUCKETS) @ vectors / len(words)
+        elif len(words):
+            out[i] = vectors[words].mean(axis=0, dtype=np.float64)
     return out
 
 
@@ -225,31 +247,38 @@ class Network:
 
 
 class Classifier:
-    def __init__(self, vectors, weights, network):
-        self.vectors, self.weights, self.network = vectors, weights, network
+    def __init__(self, vectors: np.ndarray, network: Network):
+        self.vectors, self.network = vectors, network
+
+    def scores(self, texts: pa.Array, known: _Codes) -> np.ndarray:
+        """A score per text; few texts are Python objects at a time."""
+        if len(known) > REMEMBERED:
+            known.clear()
+        parts = [self.network.predict(pool(texts.slice(at, 64).to_pylist(), self.vectors, known)) for at in range(0, len(texts), 64)]
+        return np.concatenate(parts) if parts else np.zeros(0)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Classifier:
     """``labels``: doc_id, quality, of the rows to learn from."""
-    vectors, weights = word_vectors(docs)
+    vectors = word_vectors(docs)
     spark = docs.sparkSession
     first = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").select("doc_id", "quality").orderBy(F.xxhash64("doc_id", F.lit("quality sample")), "quality").limit(sample_rows)
     # At most sample_rows pairs.
     picked = spark.createDataFrame([tuple(r) for r in first.collect()], "id long, quality int")
-    b = spark.sparkContext.broadcast((vectors, weights))
+    b = spark.sparkContext.broadcast(vectors)  # BUCKETS x DIMENSIONS numbers
     rows = documents_only(docs, "doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("id")).groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
 
     def run(batches):
         known = _Codes()
         for batch in batches:
-            x = pool(batch.column(2).to_pylist(), *b.value, known)
+            x = pool(batch.column(2).to_pylist(), b.value, known)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "quality", "x"])
 
     got = sorted(tuple(r) for r in rows.mapInArrow(run, "doc_id long, quality int, x binary").collect())
-    x = np.array([np.frombuffer(r[2], np.float32) for r in got], dtype=np.float64).reshape(len(got), 2 * DIMENSIONS)
+    x = np.array([np.frombuffer(r[2], np.float32) for r in got], dtype=np.float64).reshape(len(got), DIMENSIONS)
     y = np.array([r[1] == 1 for r in got], dtype=np.float64)
     apart = np.array([zlib.crc32(f"apart {r[0]}".encode()) % 5 == 0 for r in got], dtype=bool)
-    return Classifier(vectors, weights, Network(x, y, apart))
+    return Classifier(vectors, Network(x, y, apart))
 
 
 def score(docs: DataFrame, model: Classifier, *keep: str) -> DataFrame:
@@ -259,12 +288,10 @@ def score(docs: DataFrame, model: Classifier, *keep: str) -> DataFrame:
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
 
     def run(batches):
-        known, m = _Codes(), b.value
+        known = _Codes()
         for batch in batches:
-            scores = [m.network.predict(pool(batch.column(0).slice(at, 256).to_pylist(), m.vectors, m.weights, known)) for at in range(0, batch.num_rows, 256)]
-            if len(known) > REMEMBERED:
-                known = _Codes()
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(np.concatenate(scores) if scores else [], pa.float64())], names=[*batch.schema.names[1:], "score"])
+            scores = b.value.scores(batch.column(0), known)
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores, pa.float64())], names=[*batch.schema.names[1:], "score"])
 
     return rows.mapInArrow(run, f"{kept}, score double")
 
@@ -274,13 +301,10 @@ def accepted(docs: DataFrame, model: Classifier, least: float = ACCEPT) -> DataF
     b = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        known, m = _Codes(), b.value
+        known = _Codes()
         for batch in batches:
-            texts = batch.column(batch.schema.names.index("text"))
-            keep = [m.network.predict(pool(texts.slice(at, 256).to_pylist(), m.vectors, m.weights, known)) >= least for at in range(0, batch.num_rows, 256)]
-            if len(known) > REMEMBERED:
-                known = _Codes()
-            yield batch.filter(pa.array(np.concatenate(keep) if keep else [], pa.bool_()))
+            scores = b.value.scores(batch.column(batch.schema.names.index("text")), known)
+            yield batch.filter(pa.array(scores >= least, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
@@ -297,5 +321,8 @@ def op1_random_indexing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline: documents with a score under ACCEPT go."""
+    """Pipeline: documents with a score under ACCEPT go; an empty or null text stays or goes by its score.
+
+    Repeated rows share their fate, other columns stay as they are, an empty table gives an empty one.
+    """
     return accepted(docs, _model(spark, docs, sf_dir))
