@@ -7,14 +7,15 @@ language of the highest sum wins; the score is its share of a softmax over
 the sums, taken as the evidence of at most ``EVIDENCE`` words.
 
 The model is fitted on a bounded sample: about ``SAMPLE_ROWS`` labelled rows
-of each language, chosen by a hash of doc_id.  It keeps at most
-``VOCABULARY`` words and as many n-grams, the most frequent, of at least
-``LEAST`` uses.  Prediction covers every whole text.
+of each of at most ``LANGUAGES`` languages (an error beyond), chosen by a hash
+of doc_id.  It keeps every word and n-gram of the sample.  Prediction covers
+every whole text.
 
 Text that is null or holds no letter is ``und`` with score 0.  Rows of null
 lang or text teach nothing; without any labelled row all texts are ``und``.
-Ties go to the language that sorts first.  Repeated rows are kept.  An empty
-table gives no rows.  Other columns are ignored.
+Ties go to the language that sorts first.  Very long texts are read whole, one
+at a time.  Repeated rows are kept.  An empty table gives no rows.  Other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,8 +31,7 @@ from pyspark.sql import functions as F
 from .common import WorkFolder, documents_only, id_remainder, table
 
 SAMPLE_ROWS = 2000
-VOCABULARY = 150_000
-LEAST = 2
+LANGUAGES = 2000
 LONGEST_NGRAM = 4
 EVIDENCE = 20
 #: Added to every count.
@@ -81,6 +81,15 @@ class Model:
                 logs -= logs.mean(axis=1, keepdims=True)
             self.tables.append((terms, logs.astype(np.float32)))
 
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "own"}
+
+    def scorer(self) -> Scorer:
+        """This worker's scorer; the model lives as long as its broadcast, so tasks share it."""
+        if not hasattr(self, "own"):
+            self.own = Scorer(self)
+        return self.own
+
 
 class Scorer:
     """A worker's model: rows of word scores, learnt as words turn up."""
@@ -145,37 +154,40 @@ class Scorer:
         return self.languages[best], float(p[best] / p.sum())
 
 
-def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, vocabulary: int = VOCABULARY) -> Model:
+def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, languages: int = LANGUAGES) -> Model:
     """``labelled``: doc_id, text, lang."""
-    rows = documents_only(labelled, "doc_id", "text", "lang").where("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    languages = sorted(sizes)
-    if not languages:
+    rows = documents_only(labelled, "doc_id", "text", "lang").where("lang IS NOT NULL")
+    # A row per language, at most; texts aren't read for it.
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(languages + 1).collect()}
+    if len(sizes) > languages:
+        raise ValueError(f"over {languages} languages")
+    names = sorted(sizes)
+    if not names:
         return Model([], [([], np.zeros((0, 0)))] * 2)
-    share = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, sample_rows / sizes[lang]))])
+    share = F.create_map(*[F.lit(x) for lang in names for x in (lang, min(1.0, sample_rows / sizes[lang]))])
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("language sample")), F.lit(1_000_000)) / 1e6
-    sample = rows.where(draw < share[F.col("lang")]).select("lang", "text")
+    sample = rows.where("text IS NOT NULL").where(draw < share[F.col("lang")]).select("lang", "text")
     counts = sample.mapInArrow(_count, "lang string, kind int, term string, n long")
-    by = [F.sum(F.when(F.col("lang") == lang, F.col("n")).otherwise(0)).alias(f"n{i}") for i, lang in enumerate(languages)]
-    terms = counts.groupBy("kind", "term").agg(F.sum("n").alias("n"), *by).where(F.col("n") >= LEAST)
+    by = [F.sum(F.when(F.col("lang") == lang, F.col("n")).otherwise(0)).alias(f"n{i}") for i, lang in enumerate(names)]
+    terms = counts.groupBy("kind", "term").agg(*by)
     terms = WorkFolder(labelled.sparkSession, "language").materialise(terms, "terms")  # of the sample alone
     known = []
-    for kind in (0, 1):  # at most ``vocabulary`` rows each
-        top = terms.where(F.col("kind") == kind).orderBy(F.desc("n"), "term").limit(vocabulary).drop("kind", "n").toPandas()
-        known.append((top["term"].tolist(), top.drop(columns="term").to_numpy(np.int64)))
-    return Model(languages, known)
+    for kind in (0, 1):
+        own = terms.where(F.col("kind") == kind).drop("kind").toPandas().sort_values("term")
+        known.append((own["term"].tolist(), own.drop(columns="term").to_numpy(np.int64)))
+    return Model(names, known)
 
 
 def predict(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     """``keep`` columns of ``docs`` plus lang_pred and score."""
-    b = docs.sparkSession.sparkContext.broadcast(model)  # bounded by VOCABULARY
+    b = docs.sparkSession.sparkContext.broadcast(model)  # the terms of the bounded sample
     rows = docs.select(docs["text"].alias("__text"), *[docs[c] for c in keep])
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
 
     def run(batches):
-        scorer = Scorer(b.value)
+        scorer = b.value.scorer()
         for batch in batches:
-            lang, score = zip(*map(scorer.predict, batch.column(0).to_pylist())) if batch.num_rows else ((), ())
+            lang, score = zip(*[scorer.predict(t.as_py()) for t in batch.column(0)]) if batch.num_rows else ((), ())
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names[1:], "lang_pred", "score"])
 
     return rows.mapInArrow(run, f"{kept}, lang_pred string, score double")
