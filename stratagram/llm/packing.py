@@ -1,16 +1,17 @@
 """Bounded-space online best-fit packing of token pieces into sequences.
 
 Each task keeps a fixed number of open bins in a bitset keyed by free space.
-A piece goes to the bin with the least free space that holds it.  If none does
-and all bins are open, the fullest closes first.  Pieces arrive longest first
-within a task, so that short ones find the gaps that long ones left.  When a
-task ends, its emptiest bins go through a second, far smaller round; what is
-open after that is packed once more.  Sequences never share pieces between
-tasks, so any number of tasks may run.
+Pieces are placed as they arrive.  A piece goes to the bin with the least free
+space that holds it.  If none does and all bins are open, the fullest closes
+first.  What is open when a task ends goes through a second, far smaller round
+of the same kind, whose open bins close as they are.  Sequences never share
+pieces between tasks, so any number of tasks may run.
 
 Documents longer than a sequence, and only those, are cut.  Null text counts
 as empty (the end id alone); null doc_id and repeated rows are packed like
-others.  An empty table gives no rows.  Other columns are ignored.
+others.  Very long texts are encoded whole, one at a time.  Bins of equal free
+space are filled last opened first.  An empty table gives no rows.  Other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,16 +29,17 @@ from .encoding import encoder
 
 CAPACITY = 2048
 END_ID = 0
-OPEN_BINS = 32_768
-#: Pieces that a packing task of the first round gets, and tasks whose remains meet in one task of the second.
+#: Twice as many save under a thousandth of the sequences.
+OPEN_BINS = 128
+#: Pieces that a task of the second round gets.
 PIECES_A_TASK = 50_000
-REMAINS_A_TASK = 32
-#: Bins of a task, the emptiest, whose pieces go to the second round.
-REMAINING_BINS = 256
+#: Documents that are encoded, and rows that are handed on, at once.
 AT_ONCE = 128
+ROWS_AT_ONCE = 2000
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _IDS = ", ids array<int>"
+_PLACES = ("sequence_id", "offset", "closed")
 _PLACED = "sequence_id long, offset long, closed boolean"
 
 
@@ -46,6 +48,8 @@ class BestFit:
 
     def __init__(self, capacity: int = CAPACITY, open_bins: int = OPEN_BINS):
         self.capacity, self.open_bins = capacity, open_bins
+        #: Bins that closed with room left, since another had to be opened.
+        self.forced = 0
         self.mask, self.count = 0, 0
         self.bins: dict[int, list[list]] = {}
 
@@ -66,6 +70,7 @@ class BestFit:
             bin_ = self._take(free)
         else:
             if self.count >= self.open_bins:
+                self.forced += 1
                 closed.append(self._take((self.mask & -self.mask).bit_length() - 1))
             free, bin_ = self.capacity, []
         bin_.append((self.capacity - free, length, item))
@@ -94,96 +99,99 @@ def _cut(path, end_id, capacity, with_ids):
         for batch in batches:
             for i in range(0, batch.num_rows, AT_ONCE):
                 rows = batch.slice(i, AT_ONCE)
-                out = []
                 for doc_id, raw in zip(rows.column(0).to_pylist(), enc.encode(rows.column(1).to_pylist())):
                     raw += end
                     for k, at in enumerate(range(0, len(raw), width)):
                         cut = raw[at : at + width]
-                        out.append((doc_id, k, at // 4, len(cut) // 4, zlib.crc32(cut), cut))
-                doc, piece, start, length, crc, cuts = zip(*out)
-                columns = [pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
-                names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-                if with_ids:
-                    offsets = np.concatenate([[0], np.cumsum(length)])
-                    columns.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(cuts), dtype="<i4"))))
-                    names.append("ids")
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                        row = (doc_id, k, at // 4, len(cut) // 4, zlib.crc32(cut))
+                        yield (*row, np.frombuffer(cut, dtype="<i4")) if with_ids else row
 
     return run
 
 
-def cut_documents(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
-    """Pieces of at most ``capacity`` ids: doc_id, piece, start, length, ids_crc32 and, if asked for, ids."""
-    return documents_only(docs, "doc_id", "text").mapInArrow(_cut(vocabulary, end_id, capacity, with_ids), _PIECES + _IDS * with_ids)
+def _column(values, kind: pa.DataType) -> pa.Array:
+    if not pa.types.is_list(kind):
+        return pa.array(values, kind)
+    offsets = np.concatenate([[0], np.cumsum([len(v) for v in values])])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(values), kind.value_type))
 
 
-def _place(capacity, open_bins, round_, last):
-    """Rows in, rows out with their places; ``last``: nothing stays open."""
+def _cells(column: pa.Array) -> list:
+    """The column's values; lists, which have no nulls, as arrays of their own."""
+    if not pa.types.is_list(column.type):
+        return column.to_pylist()
+    values, at = column.values.to_numpy(), column.offsets.to_numpy().tolist()
+    return [values[i:j].copy() for i, j in zip(at, at[1:])]
+
+
+def _rows(batches):
+    for batch in batches:
+        yield from zip(*[_cells(c) for c in batch.columns])
+
+
+def _place(source, fields, capacity, open_bins, round_, last):
+    """The rows that ``source`` makes of batches, with their places; ``last``: nothing stays open."""
+    names, kinds = [f[0] for f in fields], [f[1] for f in fields]
+    at = names.index("length")
 
     def run(batches):
         from pyspark import TaskContext
 
         serial = (round_ << 58) + (TaskContext.get().partitionId() << 34)
-        packer, names = BestFit(capacity, open_bins), None
-        out: list = []
-
-        def emit():
-            columns = list(zip(*[row[0] for row in out]))
-            arrays = [pa.array(c, t) for c, t in zip(columns, types)]
-            for k, t in ((1, pa.int64()), (2, pa.int64()), (3, pa.bool_())):
-                arrays.append(pa.array([row[k] for row in out], t))
-            out.clear()
-            return pa.RecordBatch.from_arrays(arrays, names=[*names, "sequence_id", "offset", "closed"])
+        packer, out = BestFit(capacity, open_bins), []
 
         def close(bins, closed=True):
             nonlocal serial
             for bin_ in bins:
-                out.extend((item, serial, offset, closed) for offset, _, item in bin_)
+                out.extend((*row, serial, offset, closed) for offset, _, row in bin_)
                 serial += 1
 
-        for batch in batches:
-            names, types = batch.schema.names, batch.schema.types
-            at = names.index("length")
-            for item in zip(*[c.to_pylist() for c in batch.columns]):
-                close(packer.add(item[at], item))
-                if len(out) >= 5000:
-                    yield emit()
-        rest = packer.rest()
-        if last:
-            again = BestFit(capacity, 1 << 62)
-            for _, length, item in sorted((x for b in rest for x in b), key=lambda x: -x[1]):
-                close(again.add(length, item))
-            rest = again.rest()
-        else:
-            close(rest[:-REMAINING_BINS])
-            rest = rest[-REMAINING_BINS:]
-        close(rest, last)
+        def emit():
+            arrays = [_column(c, t) for c, t in zip(zip(*out), [*kinds, pa.int64(), pa.int64(), pa.bool_()])]
+            out.clear()
+            return pa.RecordBatch.from_arrays(arrays, names=[*names, *_PLACES])
+
+        for row in source(batches):
+            close(packer.add(row[at], row))
+            if len(out) >= ROWS_AT_ONCE:
+                yield emit()
+        close(packer.rest(), last)
         if out:
             yield emit()
 
     return run
 
 
+def _packed(rows: DataFrame, source, pieces: str, fields: list, folder: WorkFolder, capacity: int, open_bins: int) -> DataFrame:
+    schema = f"{pieces}, {_PLACED}"
+    first = folder.materialise(rows.mapInArrow(_place(source, fields, capacity, open_bins, 0, False), schema), "first")
+    remains = first.where(~F.col("closed")).drop("offset", "closed")
+    tasks = max(1, math.ceil(remains.count() / PIECES_A_TASK))
+    fewer = remains.repartition(tasks, F.xxhash64("sequence_id")).drop("sequence_id")
+    second = folder.materialise(fewer.mapInArrow(_place(_rows, fields, capacity, open_bins, 1, True), schema), "second")
+    return first.where("closed").unionByName(second).drop("closed")
+
+
+def _fields(schema) -> tuple[str, list]:
+    """The schema as Spark text, and (name, Arrow type) of each column."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields), [(f.name, to_arrow_type(f.dataType)) for f in schema.fields]
+
+
 def pack_pieces(pieces: DataFrame, folder: WorkFolder, capacity: int = CAPACITY, open_bins: int = OPEN_BINS) -> DataFrame:
-    """``pieces`` (with a length column, stored) with sequence_id and offset."""
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema.fields) + ", " + _PLACED
-    tasks = max(1, math.ceil(pieces.count() / PIECES_A_TASK))
-    dealt = pieces.repartition(tasks) if tasks > 1 else pieces.coalesce(1)
-    placed = dealt.sortWithinPartitions(F.desc("length")).mapInArrow(_place(capacity, open_bins, 0, tasks == 1), schema)
-    if tasks > 1:
-        first = folder.materialise(placed, "placed")
-        remains = first.where(~F.col("closed")).select(*pieces.columns)
-        fewer = remains.repartition(max(1, math.ceil(tasks / REMAINS_A_TASK)))
-        second = fewer.sortWithinPartitions(F.desc("length")).mapInArrow(_place(capacity, open_bins, 1, True), schema)
-        placed = first.where("closed").unionByName(second)
-    return placed.drop("closed")
+    """``pieces`` (with a length of at most ``capacity``) with sequence_id and offset; columns of those names, and closed, are replaced."""
+    pieces = pieces.drop(*_PLACES)
+    return _packed(pieces, _rows, *_fields(pieces.schema), folder, capacity, open_bins)
 
 
 def pack_documents(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, with_ids: bool = False) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, (ids,) sequence_id, offset."""
-    folder = WorkFolder(docs.sparkSession, "packing")
-    pieces = folder.materialise(cut_documents(docs, vocabulary, end_id, capacity, with_ids), "pieces")
-    return pack_pieces(pieces, folder, capacity, open_bins)
+    """One row per piece: doc_id, piece, start, length, ids_crc32, (ids,) sequence_id, offset.  Texts are encoded, cut and placed in one pass."""
+    from pyspark.sql.types import StructType
+
+    pieces = _fields(StructType.fromDDL(_PIECES + _IDS * with_ids))
+    rows = documents_only(docs, "doc_id", "text")
+    return _packed(rows, _cut(vocabulary, end_id, capacity, with_ids), *pieces, WorkFolder(docs.sparkSession, "packing"), capacity, open_bins)
 
 
 def sequences(packed: DataFrame) -> DataFrame:
@@ -197,5 +205,8 @@ def op4_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline: pack what is left."""
-    return pack_documents(docs)
+    """Pipeline: what is left as sequences of token ids, a row per piece.
+
+    Null and empty texts are an end id, repeated rows are all packed, an empty table gives no pieces.
+    """
+    return pack_documents(docs, with_ids=True)

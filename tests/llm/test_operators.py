@@ -167,7 +167,13 @@ def test_packing(spark, where):
             at += length
         assert at <= 2048
     total = sum(r["length"] for r in rows)
-    assert len(bins) <= -(-total // 2048) * 1.02 + 1
+    # Online order: under 1 % over the bound on large tables (the next test), some bins on small ones.
+    assert len(bins) <= -(-total // 2048) * 1.04 + 1
+
+
+def test_packing_is_tight(spark):
+    rows = run(spark, 4, "/root/testdata/sf0.1")
+    assert len({r["sequence_id"] for r in rows}) <= -(-sum(r["length"] for r in rows) // 2048) * 1.012
 
 
 def test_packing_rounds(spark, monkeypatch):
@@ -182,10 +188,52 @@ def test_packing_rounds(spark, monkeypatch):
     for r in rows:
         bins[r["sequence_id"]].append((r["offset"], r["length"]))
     assert all(sum(n for _, n in b) <= 2048 and sorted(b)[0][0] == 0 and all(x[0] + x[1] == y[0] for x, y in zip(sorted(b), sorted(b)[1:])) for b in bins.values())
+    assert len(bins) <= 1.1 * sum(r["length"] for r in rows) / 2048
     with_ids = packing.pack_documents(spark.createDataFrame([(1, "a b c"), (2, "d")], "doc_id long, text string"), with_ids=True)
     assert sum(len(r["ids"]) for r in packing.sequences(with_ids).collect()) == 6
 
 
+def test_packing_closes_bins_in_arrival_order(spark):
+    """The query's own settings: the bound on open bins binds, and a plain first-in packer agrees on every place."""
+    at = "/root/testdata/sf0.1"
+    lengths = [len(library_free(t)) for (t,) in table(spark, at, "documents").select("text").limit(3000).collect()]
+    pieces = [min(2048, n - a) for n in lengths for a in range(0, n, 2048)]
+    packer, plain, number = packing.BestFit(), [], {}
+    bins, closed = [], []
+    for k, n in enumerate(pieces):
+        closed += packer.add(n, k)
+        fits = [b for b in bins if b[0] >= n]
+        if fits:
+            least = min(b[0] for b in fits)
+            own = [b for b in fits if b[0] == least][-1]
+            bins.remove(own)
+        else:
+            if len(bins) == packing.OPEN_BINS:
+                least = min(b[0] for b in bins)
+                plain.append([b for b in bins if b[0] == least][-1])
+                bins.remove(plain[-1])
+            own = [2048, []]
+        own[0] -= n
+        own[1].append(k)
+        (bins if own[0] else plain).append(own)
+    assert packer.forced > 0 and packer.count == len(bins) <= packing.OPEN_BINS
+    assert sorted([x[2] for x in b] for b in closed) == sorted(b[1] for b in plain)
+
+
+def library_free(text):
+    """An id a character: lengths without the library's time."""
+    return (text or "")[::6] + "."
+
+
+def test_packing_awkward_columns(spark):
+    """Names that need quotes or clash, lists, nulls and no rows."""
+    pieces = spark.createDataFrame([(None, 5, [1, 2], 9), (3, 2048, [], 9)], "`a b` long, length int, ids array<int>, `offset` int")
+    folder = WorkFolder(spark, "test")
+    rows = packing.pack_pieces(pieces, folder).collect()
+    assert sorted((r["length"], r["ids"], r["offset"]) for r in rows) == [(5, [1, 2], 0), (2048, [], 0)]
+    assert packing.pack_pieces(pieces.limit(0), WorkFolder(spark, "test")).count() == 0
+
+
 def base(text):
     spans = [(m.start(), m.end(), "assign") for m in re.finditer(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[2]) >= 6]
     spans += [(m.start(), m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
