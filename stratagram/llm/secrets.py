@@ -2,8 +2,8 @@
 
 Candidates are all long unbroken strings in reach of a word that speaks of
 secrets.  For each, the marginal compressed bytes are measured: the surrounding text is
-compressed alone and with the candidate, both primed with a dictionary of code
-words and identifiers.  What the dictionary and the surroundings can't
+compressed with the candidate and with random characters in its place, both primed with a
+dictionary of code words and identifiers.  What the dictionary and the surroundings can't
 predict, an incompressible string, is reported as kind ``novel``, wherever it
 occurs in the text; its other copies count as blank surroundings.  Three fixed
 patterns (kinds assign, access, hex) are always reported; their novelty is
@@ -19,7 +19,9 @@ from __future__ import annotations
 import bisect
 import itertools
 import re
+import string
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -37,46 +39,69 @@ ASSIGN_CHARACTERS, ACCESS_CHARACTERS, HEX_CHARACTERS = 6, 20, 24
 KINDS = ("assign", "access", "hex", "novel")
 
 #: A word that makes its surroundings sensitive, and what may stand between it and a candidate.
-SENSITIVE = re.compile(r"(?:passw(?:or)?d|passphrase|secret|token|api[_-]?key|credential|private[_-]?key|access[_-]?key|auth(?:orization)?|bearer|signature)", re.IGNORECASE | re.ASCII)
+SENSITIVE = re.compile(r"(?:passw(?:or)?d|passphrase|secret|token|api[ _-]?key|credential|private[ _-]?key|access[ _-]?key|auth(?:orization)?|bearer|signature)", re.IGNORECASE | re.ASCII)
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}", re.ASCII)
 REACH = 48
 #: What joins two candidates to one secret: segments of a token, lines of a block.
 JOINT = re.compile(r"\.?(?:\r?\n[ \t]*)?")
 #: Code points of text on either side that prime the measure.
 SURROUNDINGS = 256
-#: A candidate is incompressible if it adds this many bytes a character or more.
+#: Longer candidates are measured piece by piece.
+MEASURED = 1024
+#: A candidate is incompressible if it adds this many bytes a character or more, where random letters and digits add one.
 NOVEL = 0.7
 
-DICTIONARY = b"""
-password passwd secret token api_key apikey access_key private_key credential authorization bearer signature
-username user name email host hostname port url uri path file directory database schema table column index key value
+#: Words of identifiers; the dictionary has them in lower case, capitalised (joined) and in upper case.
+IDENTIFIERS = """
+access account action address admin api application array async auth author authorization backup base batch bearer
+bucket buffer build cache certificate change channel check class client cloud code common config configuration
+connection content context control create credential current custom data database date debug default delete
+description device directory document domain download enable encode endpoint environment error event example export
+field file format frame function gateway generate group handler hash header height host identifier import index
+information input internal item key label length level line list local location login member memory message method
+mode model module name network number object option order output package page parameter parent password path payload
+payment permission phone port private process product production profile project property protected provider proxy
+public query queue read record reference register remote repository request reset resource response result return
+role route schema search secret section secure select server service session setting size source state status string
+support system table target task template test text time timeout title token transaction transfer type unique unit
+user util value variable verification version view
+""".split()
+CODE = """
 import export from class def function return self this public private protected static final const let var int long
 float double string boolean null true false none new try catch except finally throw raise if else elif for while do
 switch case break continue default with as in is not and or lambda yield async await package module interface enum
-config configuration settings environment variable process env getenv os sys json yaml xml http https www com org net
-example localhost client server request response header body content type application text html charset utf-8 status
+json yaml xml http https www com org net html charset utf-8 host=localhost username=user hostname= url= path=
 example_token your_password_here changeme placeholder xxxxxxxxxxxxxxxxxxxxxxxx 0123456789abcdef 00000000000000000000
 abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 ================ ---------------- ________________
 """
+DICTIONARY = " ".join([*IDENTIFIERS, "".join(map(str.capitalize, IDENTIFIERS)), *map(str.upper, IDENTIFIERS), CODE]).encode()
 
-_ANY = r"""(?i:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-])|AKIA[A-Z0-9]|[0-9a-f]{24}|(?i:passw(or)?d|passphrase|secret|token|api[_-]?key|credential|private[_-]?key|access[_-]?key|auth|bearer|signature)(?s:.{0,64})[A-Za-z0-9+/_=-]{16}"""
+_ANY = r"""(?i:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-])|AKIA[A-Z0-9]|[0-9a-f]{24}|(?i:passw(or)?d|passphrase|secret|token|api[ _-]?key|credential|private[ _-]?key|access[ _-]?key|auth|bearer|signature)(?s:.{0,64})[A-Za-z0-9+/_=-]{16}"""
+
+
+#: What can't be compressed, to measure candidates by.
+_RANDOM = "".join(np.random.default_rng(99).choice(list(string.ascii_letters + string.digits), 4096)).encode()
 
 
 class Novelty:
     """Marginal compressed bytes, primed with a dictionary."""
 
-    def __init__(self, dictionary: bytes = DICTIONARY, level: int = 3):
+    def __init__(self, dictionary: bytes = DICTIONARY, level: int = 12):
         import zstandard
 
         primed = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         self.compress = zstandard.ZstdCompressor(level=level, dict_data=primed, write_content_size=False, write_checksum=False, write_dict_id=False).compress
 
     def marginal(self, before: bytes, candidate: bytes, after: bytes) -> int:
-        around = before + b"\n" + after + b"\n"
-        return len(self.compress(around + candidate)) - len(self.compress(around))
+        """The candidate's bytes less what they save beside as many random ones, so that the format's changes of mode cancel out."""
+        around, n = before + b"\n" + after + b"\n", len(candidate)
+        random = (_RANDOM * (n // len(_RANDOM) + 1))[:n]
+        return n + len(self.compress(around + candidate)) - len(self.compress(around + random))
 
     def measure(self, text: str, a: int, b: int) -> int:
         """The marginal bytes of text[a:b] in its surroundings, where its other copies are blank."""
+        if b - a > MEASURED:
+            return sum(self.measure(text, k, min(b, k + MEASURED)) for k in range(a, b, MEASURED))
         own, n = text[a:b], b - a
         # A copy that the surroundings cut is blank too.
         before = text[max(0, a - SURROUNDINGS - n) : a].replace(own, " " * n)[-SURROUNDINGS:]
@@ -100,7 +125,7 @@ def novel_spans(text: str, taken: list[tuple[int, int, str]], novelty: Novelty)
     Every candidate that starts within reach of a word is measured, on any line.  A candidate's own characters and
     what joins the next one to it don't count as reach, nor does what lies between a word and a candidate measured already.
     """
-    out, at, m = [], 0, CANDIDATE.search(text)
+    out, at, m, held = [], 0, CANDIDATE.search(text), _Held(taken)
     for word in SENSITIVE.finditer(text):
         at = max(at, word.end())
         limit = at + REACH
@@ -113,25 +138,42 @@ def novel_spans(text: str, taken: list[tuple[int, int, str]], novelty: Novelty)
             a, b = m.span()
             limit += JOINT.match(text, b).end() - a
             at = b
-            if any(a < y and x < b for x, y, _ in taken):
+            if held.overlaps(a, b):
                 continue
             if novelty.measure(text, a, b) >= NOVEL * (b - a):
                 out.append((a, b, "novel"))
     return _everywhere(text, taken, out)
 
 
+class _Held:
+    """Spans that are taken, for overlaps in logarithmic time."""
+
+    def __init__(self, spans: list[tuple[int, int, str]]):
+        held = sorted((a, b) for a, b, _ in spans)
+        self.begins, self.reach = [a for a, _ in held], list(itertools.accumulate((b for _, b in held), max))
+
+    def overlaps(self, a: int, b: int) -> bool:
+        k = bisect.bisect_left(self.begins, b)
+        return k > 0 and self.reach[k - 1] > a
+
+
 def _everywhere(text: str, taken: list[tuple[int, int, str]], novel: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """``novel`` and every other occurrence of its strings that overlaps none of ``taken`` and ``novel``."""
+    """``novel`` and every other occurrence of its strings that overlaps none of ``taken`` and ``novel``: leftmost first, the longest of those, none overlapping."""
     if not novel:
         return novel
-    out, held = list(novel), sorted((a, b) for a, b, _ in taken + novel)
-    # Of two strings that begin at one place the longer is found.
-    strings = sorted({text[a:b] for a, b, _ in novel}, key=len, reverse=True)
-    begins, reach = [a for a, _ in held], list(itertools.accumulate((b for _, b in held), max))
-    for m in re.finditer("|".join(map(re.escape, strings)), text):
-        k = bisect.bisect_left(begins, m.end())
-        if not k or reach[k - 1] <= m.start():
-            out.append((*m.span(), "novel"))
+    import ahocorasick
+
+    strings = ahocorasick.Automaton()
+    for s in {text[a:b] for a, b, _ in novel}:
+        strings.add_word(s, len(s))
+    strings.make_automaton()
+    held, found, at = _Held(taken + novel), sorted((end + 1 - n, -n) for end, n in strings.iter(text)), 0
+    out = list(novel)
+    for a, n in found:
+        if a >= at:
+            at = a - n
+            if not held.overlaps(a, at):
+                out.append((a, at, "novel"))
     return out
 
 
@@ -194,7 +236,10 @@ def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline: every document stays, its secrets replaced by their kind; n_chars follows."""
+    """Pipeline: every document stays, its secrets replaced by their kind; n_chars follows.
+
+    Null and empty texts stay as they are, repeated rows change alike, an empty table stays empty.
+    """
     ship(spark)
     columns, schema = docs.columns, docs.schema
 
