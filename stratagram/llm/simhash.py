@@ -13,14 +13,15 @@ visitors finds every link, exactly.
 Copies, homes and keys are column expressions (one XOR mask list per syndrome
 of the code), and only distinct fingerprints take part, so exact copies cost
 nothing.  A hot anchor is dealt into a grid of (home chunk, visitor chunk)
-tasks.  Per anchor only the links of a spanning forest are emitted, never all
+tasks by all copies that it gets.  Per anchor only the links of a spanning forest are emitted, never all
 pairs.  Components come from rounds of large-star and small-star steps over
 tables in the shared folder.
 
 Null, empty and blank texts have fingerprint zero, linked like any other.
 Null doc_ids take part; a component's id is its smallest non-null doc_id (null
-if it has none).  Repeated rows are linked.  An empty table gives no rows.
-Other columns are ignored.
+if it has none).  Very long texts are fingerprinted whole, 65,536 shingles at a
+time.  Repeated rows are linked.  A bit that is set in just half the shingles'
+hashes is 0.  An empty table gives no rows.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -83,7 +84,7 @@ def _fingerprints(shingle):
             texts, fps = b.column(1).cast(pa.binary()), np.zeros(b.num_rows, dtype=np.uint64)
             for at in range(0, b.num_rows, AT_ONCE):
                 fps[at : at + AT_ONCE] = [fingerprint(raw or b"", shingle) for raw in texts.slice(at, AT_ONCE).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fps.view(np.int64))], names=["doc_id", "rid", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
             del b, texts
             pa.default_memory_pool().release_unused()
 
@@ -91,9 +92,8 @@ def _fingerprints(shingle):
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, rid, fp).  rid numbers the input's rows: the input must read the same each time, as stored tables do."""
-    rows = documents_only(docs, "doc_id", "text").withColumn("rid", F.monotonically_increasing_id())
-    return rows.mapInArrow(_fingerprints(shingle), "doc_id long, rid long, fp long")
+    """(doc_id, fp)."""
+    return documents_only(docs, "doc_id", "text").mapInArrow(_fingerprints(shingle), "doc_id long, fp long")
 
 
 # ------------------------------------------------------------- covering anchors
@@ -220,16 +220,15 @@ def links(fps: DataFrame, threshold: int = THRESHOLD, blocks: int = BLOCKS, hot:
     ``fps``: one row per fingerprint, stored.
     """
     spread = copies(fps, blocks, threshold)
-    # Homes per anchor bound its crowd: a crowd's fingerprints have few homes, all close by.
+    # A task holds an anchor's homes and visitors: both are counted, and hot anchors dealt by both.
+    crowds = spread.groupBy("key").agg(F.count("*").alias("all"), F.count_if("home").alias("homes")).where((F.col("all") > hot) & (F.col("homes") > 0))
     # Each listed key stands for more than ``hot`` rows, so the list is that much shorter than the table.
-    crowds = spread.where("home").groupBy("key").count().where(F.col("count") > hot)
-    crowds = F.broadcast(crowds.select(F.col("key").alias("hot_key"), F.ceil(F.col("count") / hot).cast("int").alias("grid")))
+    crowds = crowds.select(F.col("key").alias("hot_key"), F.ceil(F.col("homes") / hot).cast("int").alias("down"), F.ceil(F.col("all") / hot).cast("int").alias("grid"))
     rows = spread.join(crowds, spread["key"] == crowds["hot_key"], "left")
-    chunk = F.pmod(F.xxhash64("fp"), F.col("grid")).cast("int")
-    across = F.sequence(F.lit(0), F.col("grid") - 1)
+    row, column = F.pmod(F.xxhash64("fp"), F.col("down")).cast("int"), F.pmod(F.xxhash64("fp"), F.col("grid")).cast("int")
     # Cell (i, j) holds the homes of chunk i and the visitors of chunk j; a home is a visitor too.
-    as_home = F.transform(across, lambda j: F.struct((chunk * F.col("grid") + j).alias("cell"), F.lit(True).alias("home")))
-    as_visitor = F.transform(across, lambda i: F.struct((i * F.col("grid") + chunk).alias("cell"), F.lit(False).alias("home")))
+    as_home = F.transform(F.sequence(F.lit(0), F.col("grid") - 1), lambda j: F.struct((row * F.col("grid") + j).alias("cell"), F.lit(True).alias("home")))
+    as_visitor = F.transform(F.sequence(F.lit(0), F.col("down") - 1), lambda i: F.struct((i * F.col("grid") + column).alias("cell"), F.lit(False).alias("home")))
     alone = F.array(F.struct(F.lit(0).alias("cell"), F.col("home").alias("home")))
     cells = F.when(F.col("grid").isNull(), alone).when(F.col("home"), F.concat(as_home, as_visitor)).otherwise(as_visitor)
     dealt = rows.select("key", "fp", F.explode(cells).alias("c")).select("key", "fp", "c.home", "c.cell")
@@ -298,22 +297,27 @@ def components(edges: DataFrame, folder: WorkFolder) -> DataFrame:
     return now.select(F.col("b").alias("node"), F.col("a").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, blocks: int = BLOCKS, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, rid, fp, first): ``first`` is the (doc_id, rid) of the component's first row, null ids last."""
+#: With so many distinct fingerprints or more the anchors of three blocks are too few.
+MANY = 1 << 26
+
+
+def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, blocks: int | None = None, shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id, fp, first): ``first.doc_id`` is the component's smallest doc_id.  Results don't depend on ``blocks``; without one it follows from the number of fingerprints."""
     folder = WorkFolder(docs.sparkSession, "simhash")
     prints = folder.materialise(fingerprints(docs, shingle), "prints")
-    one = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("first"))
+    one = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("first"))
     one = folder.materialise(one, "distinct")
-    return _firsts(prints, one, components(links(one.select("fp"), threshold, blocks), folder))
+    blocks = blocks or (BLOCKS if one.count() < MANY else 2)
+    return firsts(prints, one, components(links(one.select("fp"), threshold, blocks), folder))
 
 
-def _firsts(prints: DataFrame, one: DataFrame, roots: DataFrame) -> DataFrame:
-    """(doc_id, rid, fp, first), by the components of the distinct ``fp``."""
+def firsts(rows: DataFrame, one: DataFrame, roots: DataFrame) -> DataFrame:
+    """``rows`` (with fp) and the first row of their component, by the components of the distinct ``fp``."""
     rooted = one.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     linked = rooted.join(roots.select("root").distinct(), "root", "left_semi")
-    firsts = linked.groupBy("root").agg(F.min("first").alias("least"))
-    groups = rooted.join(firsts, "root", "left").select("fp", F.coalesce("least", "first").alias("first"))
-    return prints.join(groups, "fp").select("doc_id", "rid", "fp", F.struct(F.col("first.doc_id").alias("doc_id"), F.col("first.rid").alias("rid")).alias("first"))
+    least = linked.groupBy("root").agg(F.min("first").alias("least"))
+    groups = rooted.join(least, "root", "left").select("fp", F.coalesce("least", "first").alias("first"))
+    return rows.join(groups, "fp")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
