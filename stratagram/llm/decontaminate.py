@@ -5,19 +5,22 @@ Benchmark items are lower-cased (A-Z), cut into words and every window of
 pattern.  Each document is normalised the same way and scanned once; a hit
 covers the window's words, and offsets lead back to the original text.
 
-The automaton is broadcast only while its patterns fit ``BLOCK_BYTES``; a
-larger benchmark is dealt into blocks by item, each scanned in turn, and the
-hits are merged, so every window counts at any size.
+An automaton takes some 300 times the bytes of its items, so it is built from
+``BLOCK_BYTES`` of them at most, once per worker.  A larger benchmark is dealt
+into blocks of stretches of items that overlap by a window, each scanned in
+turn, and the hits are merged, so every window counts at any size.
 
 Null or wordless texts have no words and no hits; wordless items have no
 window.  Repeated items each count by their own id, an item id that occurs
-twice counts once.  Null item ids are ignored in the list of items.  Empty
-tables give no rows or no hits.  Other columns pass by unread.
+twice counts once.  Null item ids are ignored in the list of items.  Repeated
+rows are kept.  Very long texts are scanned whole, one at a time.  Empty tables
+give no rows or no hits.  Other columns pass by unread.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +30,10 @@ from pyspark.sql import functions as F
 from .common import WorkFolder, documents_only, table
 
 WINDOW = 10
-#: Bytes of benchmark text that one automaton may be built from.
-BLOCK_BYTES = 16 << 20
+#: Bytes of benchmark text that one automaton may be built from: some 80 MB of automaton.
+BLOCK_BYTES = 256 << 10
+#: Words of an item that are dealt as one; longer items go in stretches.
+STRETCH = 1000
 
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: A-Z to a-z; other ASCII that is no word character to a blank.  Bytes over 0x7F are word characters.
@@ -98,14 +103,26 @@ _SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 _FOUND = "n_words long, n_hit long, hit binary, items array<string>, spans array<struct<start:long,end:long>>"
 
 
+_built: list = []
+
+
+def _automaton_of(broadcast):
+    """This worker's automaton of a broadcast block; the one before it goes."""
+    key = broadcast.value[2]
+    if not _built or _built[0] != key:
+        _built.clear()
+        _built.extend([key, automaton(windows(*broadcast.value[:2]))])
+    return _built[1]
+
+
 def _scanner(broadcast, names):
     def run(batches):
-        a = automaton(windows(*broadcast.value))
+        a = _automaton_of(broadcast)
         for batch in batches:
             at = batch.schema.names.index("text")
-            texts = batch.column(at).cast(pa.binary()).to_pylist()
             n, n_hit, hits, items, spans = [], [], [], [], []
-            for raw in texts:
+            for cell in batch.column(at).cast(pa.binary()):
+                raw = cell.as_py()
                 count, hit, found = scan(raw, a)
                 n.append(count)
                 n_hit.append(0 if hit is None else int(hit.sum()))
@@ -132,14 +149,31 @@ def _merge(batches):
         yield pa.RecordBatch.from_arrays([*b.columns[:i], pa.array(n_hit, pa.int64())], names=[*b.schema.names[:i], "n_hit"])
 
 
+def _stretches(window):
+    """Items as (item_id, text); long ones in stretches that overlap by a window less a word."""
+
+    def run(batches):
+        for batch in batches:
+            for i, cell in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
+                words = _words(cell.as_py())
+                cut = [b" ".join(words[at : at + STRETCH + window - 1]).decode() for at in range(0, max(1, len(words) - window + 1), STRETCH)]
+                for at in range(0, len(cut), 256):
+                    part = cut[at : at + 256]
+                    yield pa.RecordBatch.from_arrays([pa.array([i] * len(part), batch.column(0).type), pa.array(part, pa.string())], names=["item_id", "text"])
+
+    return run
+
+
 def _blocks(benchmark: DataFrame, window: int, block_bytes: int) -> list:
-    """Broadcasts of (items, window), each made of about ``block_bytes`` of the benchmark."""
+    """Broadcasts of (items, window, name), each made of about ``block_bytes`` of the benchmark."""
     spark = benchmark.sparkSession
-    items = benchmark.select("item_id", "text")
+    items = documents_only(benchmark, "item_id", "text")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
     n = max(1, -(-size // block_bytes))
+    if n > 1:
+        items = WorkFolder(spark, "benchmark").materialise(items.mapInArrow(_stretches(window), items.schema), "stretches")
     own = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-    return [spark.sparkContext.broadcast(([tuple(r) for r in (items if n == 1 else items.where(own == k)).collect()], window)) for k in range(n)]
+    return [spark.sparkContext.broadcast(([tuple(r) for r in (items if n == 1 else items.where(own == k)).collect()], window, uuid.uuid4().hex)) for k in range(n)]
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -147,7 +181,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
 
     def filter_by(broadcast):
         def run(batches):
-            a = automaton(windows(*broadcast.value))
+            a = _automaton_of(broadcast)
             for batch in batches:
                 texts = batch.column(batch.schema.names.index("text")).cast(pa.binary())
                 clean = [scan(raw, a)[1] is None for at in range(0, batch.num_rows, 256) for raw in texts.slice(at, 256).to_pylist()]
@@ -155,7 +189,10 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
 
         return run
 
-    for b in _blocks(benchmark, window, block_bytes):
+    blocks, folder = _blocks(benchmark, window, block_bytes), WorkFolder(docs.sparkSession, "decontaminate")
+    for k, b in enumerate(blocks):
+        if k:  # one automaton in a worker at a time
+            docs = folder.materialise(docs, f"block{k}")
         docs = docs.mapInArrow(filter_by(b), docs.schema)
     return docs
 
@@ -163,7 +200,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """All columns of ``docs`` plus n_words, n_hit, items (sorted as strings), spans of the original text.
 
-    Columns of ``docs`` with those names are replaced.  With several blocks
+    Columns of ``docs`` with those names, and hit, are replaced.  With several blocks
     ``spans`` lists each block's stretches and may overlap.
     """
     spark = docs.sparkSession
@@ -174,20 +211,20 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
         found = docs.mapInArrow(_scanner(blocks[0], docs.columns), f"{plain}, {_FOUND}")
         return found.drop("hit")
     folder = WorkFolder(spark, "decontaminate")
-    keyed = folder.materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    keyed = folder.materialise(docs.withColumn("__stratagram_row", F.monotonically_increasing_id()), "rows")
     parts = None
     for k, b in enumerate(blocks):
-        found = keyed.select("__row", "text").mapInArrow(_scanner(b, ["__row"]), f"__row long, {_FOUND}").where(F.col("hit").isNotNull() | (F.lit(k) == 0))
+        found = keyed.select("__stratagram_row", "text").mapInArrow(_scanner(b, ["__stratagram_row"]), f"__stratagram_row long, {_FOUND}").where(F.col("hit").isNotNull() | (F.lit(k) == 0))
         part = folder.materialise(found, f"block{k}")
         parts = part if parts is None else parts.unionByName(part)
-    merged = parts.groupBy("__row").agg(
+    merged = parts.groupBy("__stratagram_row").agg(
         F.max("n_words").alias("n_words"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
         F.flatten(F.collect_list("spans")).alias("spans"),
         F.collect_list("hit").alias("hits"),
     )
-    merged = merged.mapInArrow(_merge, "__row long, n_words long, items array<string>, spans array<struct<start:long,end:long>>, n_hit long")
-    return keyed.join(merged, "__row").drop("__row")
+    merged = merged.mapInArrow(_merge, "__stratagram_row long, n_words long, items array<string>, spans array<struct<start:long,end:long>>, n_hit long")
+    return keyed.join(merged, "__stratagram_row").drop("__stratagram_row")
 
 
 def op7_aho_corasick(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,7 +234,7 @@ def op7_aho_corasick(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline: documents with a benchmark window go."""
+    """Pipeline: documents with a benchmark window go; null and empty texts, which have none, stay, repeated rows share their fate, an empty table stays empty."""
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
