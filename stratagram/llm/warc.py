@@ -8,14 +8,17 @@ file.  ``read_records`` then reads members by index, any number of tasks to a
 file.
 
 Payloads are stored once: of records with equal payloads of ``REVISIT_BYTES``
-or more, the one of the largest page_id is a response and the others revisit
-it.  Null html counts as empty, null url as an empty target.  A null page_id
-is kept as null and counts as smallest.  Repeated rows: one of them is the
-response, the others revisit its page_id.  An empty table gives no files.
-Other columns are ignored.  The input must read the same each time, as stored
-tables do.
-
-Files appear under their names only when whole, so a task may run again.
+or more, the one of the largest page_id (of those, the largest url) is a
+response and the others revisit it.  Null html counts as empty, null url as an
+empty target.  A null page_id is kept as null and counts as smallest.  Repeated
+rows: one of them is the response, the others revisit its page_id.  Very long
+pages are records like others, held one at a time.  An empty table gives no
+files.  Other columns are ignored.
+
+Files appear under their names only when whole, so a task may run again.  A
+stream that ends before its last member does, or with other records than were
+written, is an error; nothing is deleted then.  Zero bytes after a member are
+padding.
 """
 
 from __future__ import annotations
@@ -45,8 +48,8 @@ _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 # ---------------------------------------------------------------------- records
 
 
-def record_id(page_id) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"
+def record_id(name: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>"
 
 
 def _field(value: str | None) -> str:
@@ -54,12 +57,12 @@ def _field(value: str | None) -> str:
     return re.sub(r"[\x00-\x20%\x7f]", lambda m: f"%{ord(m[0]):02X}", value or "")
 
 
-def make_record(page_id, url, payload: bytes, digest: str, refers_to=None, revisit: bool = False) -> bytes:
-    """A WARC/1.1 record; a revisit keeps the HTTP head and leaves out the payload."""
+def make_record(page_id, url, payload: bytes, digest: str, refers_to=None, revisit: bool = False, name: str | None = None) -> bytes:
+    """A WARC/1.1 record; a revisit keeps the HTTP head and leaves out the payload.  ``name`` tells records apart; the response that others revisit goes by its digest."""
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(page_id)}", f"WARC-Date: {_DATE}", f"WARC-Target-URI: {_field(url)}", f"X-Page-Id: {'' if page_id is None else page_id}", "WARC-Payload-Digest: sha1:" + base64.b32encode(bytes.fromhex(digest)).decode()]
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(name or digest)}", f"WARC-Date: {_DATE}", f"WARC-Target-URI: {_field(url)}", f"X-Page-Id: {'' if page_id is None else page_id}", "WARC-Payload-Digest: sha1:" + base64.b32encode(bytes.fromhex(digest)).decode()]
     if revisit:
-        head += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: {record_id(refers_to)}", f"X-Refers-To-Page-Id: {'' if refers_to is None else refers_to}"]
+        head += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: {record_id(digest)}", f"X-Refers-To-Page-Id: {'' if refers_to is None else refers_to}"]
     else:
         block += payload
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
@@ -100,23 +103,34 @@ def split_stream(chunks):
 
 
 def inflate(stream):
-    """Pieces of a gzip stream of any number of members."""
-    d = zlib.decompressobj(31)
+    """Pieces of a gzip stream of any number of members, zero bytes between them or not."""
+    d, open_ = zlib.decompressobj(31), False
     while raw := stream.read(_CHUNK):
         while raw:
+            if not open_:
+                raw = raw.lstrip(b"\0")
+                if not raw:
+                    break
+                open_ = True
             if out := d.decompress(raw, _CHUNK):
                 yield out
             raw = d.unconsumed_tail
             if d.eof:
-                raw, d = d.unused_data, zlib.decompressobj(31)
-    if out := d.flush():
+                raw, d, open_ = d.unused_data, zlib.decompressobj(31), False
+    # What is still held back when the input ends inside a member.
+    while open_ and (out := d.decompress(d.unconsumed_tail, _CHUNK)):
         yield out
+        open_ = not d.eof
+    if open_:
+        raise ValueError("the stream ends inside a gzip member")
 
 
 # ------------------------------------------------------------------------ files
 
 
 def _fs(path: str):
+    # Spark's names of object stores, in pyarrow's words.
+    path = re.sub(r"^s3[an]://", "s3://", path)
     return pafs.FileSystem.from_uri(path if "://" in path else re.sub(r"^file:/*", "file:///", path) if path.startswith("file:") else "file://" + path)
 
 
@@ -143,7 +157,7 @@ class _Whole:
 
 
 def write_monolithic(records: DataFrame, folder: str) -> DataFrame:
-    """Records (page_id, url, html, digest, revisit, refers_to) as one gzip stream per partition; (file)."""
+    """Records (page_id, url, html, digest, revisit, refers_to, held) as one gzip stream per partition; (file, records)."""
 
     def run(batches):
         from pyspark import TaskContext
@@ -152,20 +166,24 @@ def write_monolithic(records: DataFrame, folder: str) -> DataFrame:
         first = next(rows, None)
         if first is None:
             return
-        path = f"{folder}/pages-{TaskContext.get().partitionId():06d}.warc.gz"
+        part, n = TaskContext.get().partitionId(), 0
+        path = f"{folder}/pages-{part:06d}.warc.gz"
         with _Whole(path) as out:
             z = zlib.compressobj(1, zlib.DEFLATED, 31)
             for batch in (x for head in ([first[0]], batches) for x in head):
-                for page_id, url, html, digest, revisit, refers_to in zip(*[c.to_pylist() for c in batch.columns]):
-                    out.write(z.compress(make_record(page_id, url, html or b"", digest, refers_to, revisit)))
+                for i in range(batch.num_rows):
+                    page_id, url, html, digest, revisit, refers_to, held = (c[i].as_py() for c in batch.columns)
+                    name = None if held and not revisit else f"record {part} {n} {folder}"
+                    out.write(z.compress(make_record(page_id, url, html or b"", digest, refers_to, revisit, name)))
+                    n += 1
             out.write(z.flush())
-        yield pa.RecordBatch.from_arrays([pa.array([path])], names=["file"])
+        yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n], pa.int64())], names=["file", "records"])
 
-    rows = records.select("page_id", "url", F.col("html").cast("binary").alias("html"), "digest", "revisit", "refers_to")
-    return rows.mapInArrow(run, "file string")
+    rows = records.select("page_id", "url", F.col("html").cast("binary").alias("html"), "digest", "revisit", "refers_to", "held")
+    return rows.mapInArrow(run, "file string, records long")
 
 
-def _rewrite(fs, source: str, target: str, level: int) -> list[tuple]:
+def _rewrite(fs, source: str, target: str, level: int, records: int | None) -> list[tuple]:
     """One file, member by member, and its sidecar; its index."""
     offset, index = 0, []
     with _Whole(target) as out, fs.open_input_stream(source, compression=None) as stream:
@@ -176,6 +194,8 @@ def _rewrite(fs, source: str, target: str, level: int) -> list[tuple]:
             found = re.search(rb"(?im)^warc-record-id:[ \t]*(\S+)", raw[: raw.find(b"\r\n\r\n")])
             index.append((target, offset, len(member), found[1].decode() if found else None))
             offset += len(member)
+        if records is not None and len(index) != records:
+            raise ValueError(f"{source}: {len(index)} records of {records}")
     with _Whole(target + ".idx") as out:
         out.write("".join(f"{o} {n} {r or '-'}\n" for _, o, n, r in index).encode())
     return index
@@ -192,26 +212,29 @@ def normalise(files: DataFrame, folder: str, level: int = 6, consume: bool = Fal
     """Rewrite each file member by member below ``folder``; the index: (file, offset, length, record_id).
 
     The same index is written beside each file as ``<file>.idx``, a line per
-    record.  ``consume`` deletes a source when its copy and index are whole; a
-    task that runs again finds the copy and takes its index.
+    record.  Where ``files`` has a column records, a file must hold as many.
+    ``consume`` deletes a source when its copy and index are whole; a task that
+    runs again finds the copy and takes its index.
     """
+    counted = "records" in files.columns
 
     def run(batches):
         for batch in batches:
-            for source in batch.column(0).to_pylist():
+            for source, records in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 fs, at = _fs(source)
                 target = f"{folder}/{source.rsplit('/', 1)[-1]}"
                 if consume and fs.get_file_info(at).type == pafs.FileType.NotFound:
                     index = _sidecar(target)
                 else:
-                    index = _rewrite(fs, at, target, level)
+                    index = _rewrite(fs, at, target, level, records)
                     if consume:
                         fs.delete_file(at)
                 for i in range(0, len(index), 5000):
                     c = list(zip(*index[i : i + 5000]))
                     yield pa.RecordBatch.from_arrays([pa.array(c[0]), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.string())], names=["file", "offset", "length", "record_id"])
 
-    return files.mapInArrow(run, "file string, offset long, length long, record_id string")
+    rows = files.select("file", F.col("records").cast("long") if counted else F.lit(None).cast("long").alias("records"))
+    return rows.mapInArrow(run, "file string, offset long, length long, record_id string")
 
 
 def read_index(spark: SparkSession, folder: str) -> DataFrame:
@@ -266,16 +289,24 @@ def read_records(index: DataFrame, with_payload: bool = False) -> DataFrame:
 
 
 def with_revisits(pages: DataFrame) -> DataFrame:
-    """(page_id, url, html, digest, revisit, refers_to): who holds a payload and who refers to it."""
-    rows = documents_only(pages, "page_id", "url", "html").withColumn("rid", F.monotonically_increasing_id())
+    """(page_id, url, html, digest, revisit, refers_to, held): who holds a payload, alone or not, and who refers to it."""
+    rows = documents_only(pages, "page_id", "url", "html")
     rows = rows.withColumn("html", F.coalesce("html", F.lit("")).cast("binary")).withColumn("digest", F.sha1("html"))
-    large = rows.where(F.octet_length("html") >= REVISIT_BYTES)
-    who = F.struct(F.coalesce(F.col("page_id"), F.lit(-(2**63)).cast("long")).alias("order"), "rid", "page_id")
-    holders = large.groupBy("digest").agg(F.max(who).alias("holder"), F.count("*").alias("n")).where("n > 1")
-    holders = holders.select(F.col("digest").alias("held"), "holder")
-    joined = rows.join(holders, (rows["digest"] == holders["held"]) & (F.octet_length(rows["html"]) >= REVISIT_BYTES), "left")
-    revisit = F.coalesce(F.col("holder.rid") != F.col("rid"), F.lit(False))
-    return joined.select("page_id", "url", "html", "digest", revisit.alias("revisit"), F.when(revisit, F.col("holder.page_id")).alias("refers_to"))
+    large = rows.where(F.octet_length("html") >= REVISIT_BYTES).groupBy("digest", "page_id", "url").agg(F.count("*").alias("twins"))
+    who = F.struct(F.coalesce(F.col("page_id"), F.lit(-(2**63)).cast("long")).alias("order"), F.col("page_id").isNotNull().alias("known"), "url", "page_id", "twins")
+    holders = large.groupBy("digest").agg(F.max(who).alias("holder"), F.sum("twins").alias("n")).where("n > 1")
+    holders = holders.select(F.col("digest").alias("same"), "holder")
+    joined = rows.join(holders, (rows["digest"] == holders["same"]) & (F.octet_length(rows["html"]) >= REVISIT_BYTES), "left")
+    holds = F.col("page_id").eqNullSafe(F.col("holder.page_id")) & F.col("url").eqNullSafe(F.col("holder.url"))
+    held = F.col("holder").isNotNull()
+    marked = joined.select("page_id", "url", "html", "digest", (held & ~holds).alias("revisit"), F.when(held & ~holds, F.col("holder.page_id")).alias("refers_to"), held.alias("held"), (held & holds & (F.col("holder.twins") > 1)).alias("twin"))
+    # Rows that equal their holder: one is the response.  They are the same, so their number is all that's needed.
+    twins = large.join(holders.where("holder.twins > 1"), (F.col("digest") == F.col("same")) & F.col("page_id").eqNullSafe(F.col("holder.page_id")) & F.col("url").eqNullSafe(F.col("holder.url")), "left_semi")
+    one = rows.join(twins.select(F.col("digest").alias("same"), F.col("page_id").alias("own"), F.col("url").alias("at"), "twins"), (F.col("digest") == F.col("same")) & F.col("page_id").eqNullSafe(F.col("own")) & F.col("url").eqNullSafe(F.col("at")))
+    one = one.groupBy("digest", "page_id", "url", "twins").agg(F.first("html").alias("html"))
+    copies = one.select("page_id", "url", "html", "digest", F.explode(F.sequence(F.lit(1).cast("long"), "twins")).alias("k")).repartition("digest", "k")
+    copies = copies.select("page_id", "url", "html", "digest", (F.col("k") > 1).alias("revisit"), F.when(F.col("k") > 1, F.col("page_id")).alias("refers_to"), F.lit(True).alias("held"))
+    return marked.where(~F.col("twin")).drop("twin").unionByName(copies)
 
 
 def archive_pages(pages: DataFrame, folder: WorkFolder) -> DataFrame:
