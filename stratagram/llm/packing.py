@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WorkFolder, documents_only, table
+from .common import WorkFolder, documents_only, give_back, table
 from .encoding import encoder
 
 CAPACITY = 2048
@@ -35,7 +35,7 @@ OPEN_BINS = 128
 PIECES_A_TASK = 50_000
 #: Documents that are encoded, and rows that are handed on, at once.
 AT_ONCE = 128
-ROWS_AT_ONCE = 2000
+ROWS_AT_ONCE = 500
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _IDS = ", ids array<int>"
@@ -139,6 +139,7 @@ def _place(source, fields, capacity, open_bins, round_, last):
 
         serial = (round_ << 58) + (TaskContext.get().partitionId() << 34)
         packer, out = BestFit(capacity, open_bins), []
+        give_back()
 
         def close(bins, closed=True):
             nonlocal serial

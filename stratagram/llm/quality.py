@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents_only, id_remainder, table
+from .common import documents_only, give_back, id_remainder, table
 
 BUCKETS = 1 << 14
 DIMENSIONS = 32
@@ -49,7 +49,7 @@ ACCEPT = 0.7
 SEED = 20240607
 #: Rows of the table that one key of the sum holds.
 CHUNK = 256
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Words of streams that are added up at once.
 AT_ONCE = 1 << 18
 
@@ -289,6 +289,7 @@ def score(docs: DataFrame, model: Classifier, *keep: str) -> DataFrame:
 
     def run(batches):
         known = _Codes()
+        give_back()
         for batch in batches:
             scores = b.value.scores(batch.column(0), known)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores, pa.float64())], names=[*batch.schema.names[1:], "score"])
@@ -302,6 +303,7 @@ def accepted(docs: DataFrame, model: Classifier, least: float = ACCEPT) -> DataF
 
     def run(batches):
         known = _Codes()
+        give_back()
         for batch in batches:
             scores = b.value.scores(batch.column(batch.schema.names.index("text")), known)
             yield batch.filter(pa.array(scores >= least, pa.bool_()))
