@@ -207,14 +207,15 @@ def refine(problem: Problem, found, nodes: int = 1):
     return v[:n], new_beta, new_b, sigma2, dev, count + more, ok
 
 
-def nls(curve: Curve, x, y, start=None, most: int = 200) -> dict:
-    """Ordinary nonlinear least squares of one series."""
+def nls(curve: Curve, x, y, start=None, most: int = 200, weights=None, within: float = 0.0) -> dict:
+    """Nonlinear least squares of one series; ``weights``: rows that each point stands for, ``within``: their squares about the points."""
     beta = np.asarray(start if start is not None else curve.self_start(x, y), float)
     x, y = np.asarray(x, float), np.asarray(y, float)
+    w = np.ones(len(y)) if weights is None else np.asarray(weights, float)
     mu, g = curve.values(x, list(beta))
-    rss, damp, ok = float(((y - mu) ** 2).sum()), 1e-3, False
+    rss, damp, ok = float((w * (y - mu) ** 2).sum()), 1e-3, False
     for _ in range(most):
-        a, r = g.T @ g, g.T @ (y - mu)
+        a, r = g.T @ (w[:, None] * g), g.T @ (w * (y - mu))
         gain = None
         for _ in range(14):
             try:
@@ -223,7 +224,7 @@ def nls(curve: Curve, x, y, start=None, most: int = 200) -> dict:
                 damp *= 10
                 continue
             m2, g2 = curve.values(x, list(beta + step))
-            new = float(((y - m2) ** 2).sum())
+            new = float((w * (y - m2) ** 2).sum())
             if math.isfinite(new) and new <= rss:
                 gain, beta, mu, g, rss, damp = rss - new, beta + step, m2, g2, new, max(damp / 5, 1e-14)
                 break
@@ -231,4 +232,4 @@ def nls(curve: Curve, x, y, start=None, most: int = 200) -> dict:
         if gain is None or gain <= 1e-13 * (rss + 1e-300):
             ok = math.isfinite(rss)
             break
-    return {"parameters": beta.tolist(), "rss": rss, "n": len(y), "converged": bool(ok)}
+    return {"parameters": beta.tolist(), "rss": rss + within, "n": float(w.sum()), "converged": bool(ok)}

@@ -221,17 +221,22 @@ def nlmer_with_mean(formula: str, df: DataFrame, mean_fn, param_names: list[str]
 
 
 def nls_by_key(df: DataFrame, key: str, x: str, y: str, curve: str) -> DataFrame:
-    """An independent least-squares curve for every key, in tasks; a key's rows are averaged by x first."""
+    """An independent least-squares curve for every key, in tasks, from a key's distinct x with number, mean and squares within.
+
+    (key, parameters, rss, n, converged) are those of the rows themselves; rows of null x or y are left out.
+    """
     if curve not in CURVES:
         raise ModelError(f"unknown curve {curve}; one of {sorted(CURVES)}")
     ship(df.sparkSession)
-    rows = df.groupBy(F.col(key).cast("string").alias("key"), F.col(x).cast("double").alias("x")).agg(F.avg(F.col(y).cast("double")).alias("y"), F.count("*").alias("n"))
+    value = F.col(f"`{y}`").cast("double")
+    named = df.select(F.col(f"`{key}`").cast("string").alias("key"), F.col(f"`{x}`").cast("double").alias("x"), value.alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
+    rows = named.groupBy("key", "x").agg(F.avg("y").alias("y"), F.count("*").alias("n"), (F.var_pop("y") * F.count("*")).alias("within"))
     name = curve
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         curve = CURVES[name]
         try:
-            fit = nlmm.nls(curve, pdf["x"].to_numpy(), pdf["y"].to_numpy())
+            fit = nlmm.nls(curve, pdf["x"].to_numpy(), pdf["y"].to_numpy(), weights=pdf["n"].to_numpy(float), within=float(pdf["within"].sum()))
         except (ValueError, np.linalg.LinAlgError, IndexError):
             fit = {"parameters": [math.nan] * len(curve.parameters), "rss": math.nan, "converged": False}
         return pd.DataFrame([(pdf["key"].iloc[0], fit["parameters"], fit["rss"], int(pdf["n"].sum()), fit["converged"])], columns=["key", "parameters", "rss", "n", "converged"])

@@ -34,6 +34,15 @@ class ModelError(ValueError):
 # ("ns", column, j, knots, projection) ; a design column is a product of these.
 
 
+def _levels(df: DataFrame, column: str) -> list[str]:
+    """The levels of a factor in order of their bytes; at most MOST_LEVELS and one come back, however many there are."""
+    text = F.coalesce(F.col(f"`{column}`").cast("string"), F.raise_error(F.lit(f"null in column {column}")).cast("string"))
+    found = [r[0] for r in df.select(text.alias("level")).distinct().limit(MOST_LEVELS + 1).collect()]
+    if len(found) > MOST_LEVELS:
+        raise ModelError(f"{column} has over {MOST_LEVELS} levels; use a random effect")
+    return sorted(found, key=lambda s: s.encode())
+
+
 def number(column: str) -> Column:
     """A numeric value; null is an error, as is text that is no number."""
     return F.coalesce(F.col(f"`{column}`").cast("double"), F.raise_error(F.lit(f"null or no number in column {column}")).cast("double"))
@@ -223,15 +232,11 @@ def analyze(df: DataFrame, formula: str | Formula, response_as: Column | None =
     y = (response_as if response_as is not None else number(f.response)) - (factor_column(offset) if offset else F.lit(0.0))
     polys = [a for a in atoms.values() if a.kind == "poly" and not a.args[2]]
     wanted = [F.count("*").alias("n"), F.avg(y).alias("mean_y")]
-    wanted += [F.collect_set(F.coalesce(F.col(f"`{c}`").cast("string"), F.raise_error(F.lit(f"null in column {c}")).cast("string"))).alias(f"levels_{c}") for c in sorted(categories)]
     wanted += [F.avg(number(a.args[0])).alias(f"mean_{k}") for k, a in enumerate(polys)]
     got = df.agg(*wanted).first()
     if not got["n"]:
         raise ModelError("the table has no rows")
-    levels = {c: sorted(got[f"levels_{c}"], key=lambda s: s.encode()) for c in categories}
-    for c, found in levels.items():
-        if len(found) > MOST_LEVELS:
-            raise ModelError(f"{c} has {len(found)} levels; use a random effect")
+    levels = {c: _levels(df, c) for c in sorted(categories)}
     encodings = {a.label: _orthogonal(df, a, got[f"mean_{k}"]) for k, a in enumerate(polys)}
     encodings |= {a.label: _spline(df, a) for a in atoms.values() if a.kind == "ns"}
     columns, handled = [], f.intercept

@@ -6,6 +6,7 @@ reads its whole tables.
 
 from __future__ import annotations
 
+import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -569,13 +570,47 @@ def nlmer_growth(spark, sf):
     return spark.createDataFrame([(n, round(float(v), 4)) for n, v in zip(m.fixed_names, m.coefficients)], "name string, estimate double")
 
 
-@query()
+_MICMEN_ROWS = "SELECT CAST(l_suppkey AS VARCHAR) AS key, CAST(l_quantity AS DOUBLE) AS x, 100.0 * l_quantity / (8.0 + l_quantity) + l_discount AS y FROM lineitem"
+
+
+@query(f"""
+WITH RECURSIVE rows AS ({_MICMEN_ROWS}),
+fit(step, key, v, k) AS (
+  SELECT DISTINCT 0, key, CAST(100 AS DOUBLE), CAST(8 AS DOUBLE) FROM rows
+  UNION ALL
+  SELECT step + 1, key, v + (d * p - b * q) / (a * d - b * b), k + (a * q - b * p) / (a * d - b * b) FROM (
+    SELECT step, key, v, k, sum(g1 * g1) AS a, sum(g1 * g2) AS b, sum(g2 * g2) AS d, sum(g1 * r) AS p, sum(g2 * r) AS q FROM (
+      SELECT step, key, v, k, x / (k + x) AS g1, -v * x / ((k + x) * (k + x)) AS g2, y - v * x / (k + x) AS r FROM fit JOIN rows USING (key) WHERE step < 12)
+    GROUP BY step, key, v, k))
+SELECT key, round(v, 4) AS vmax, round(k, 4) AS k, round(sum((y - v * x / (k + x)) ** 2), 4) AS rss, count(*) AS n, TRUE AS converged
+FROM fit JOIN rows USING (key) WHERE step = 12 GROUP BY key, v, k
+""")
 def nls_by_supplier(spark, sf):
     df = _t(spark, sf, "lineitem").select("l_suppkey", "l_quantity", (F.lit(100.0) * F.col("l_quantity") / (F.lit(8.0) + F.col("l_quantity")) + F.col("l_discount")).alias("y"))
-    return nonlinear.nls_by_key(df, "l_suppkey", "l_quantity", "y", "SSmicmen")
+    fits = nonlinear.nls_by_key(df, "l_suppkey", "l_quantity", "y", "SSmicmen")
+    return fits.select("key", F.round(F.col("parameters")[0], 4).alias("vmax"), F.round(F.col("parameters")[1], 4).alias("k"), F.round("rss", 4).alias("rss"), "n", "converged")
 
 
-@query()
+#: Hermite polynomials of order n and n - 1, and where Newton's steps to the roots begin.
+_HERMITE = {
+    3: ("x**3 - 3*x", "x**2 - 1", (0, 1.7)),
+    5: ("x**5 - 10*x**3 + 15*x", "x**4 - 6*x**2 + 3", (0, 1.36, 2.86)),
+    7: ("x**7 - 21*x**5 + 105*x**3 - 105*x", "x**6 - 15*x**4 + 45*x**2 - 15", (0, 1.154, 2.367, 3.75)),
+    9: ("x**9 - 36*x**7 + 378*x**5 - 1260*x**3 + 945*x", "x**8 - 28*x**6 + 210*x**4 - 420*x**2 + 105", (0, 1.023, 2.077, 3.205, 4.513)),
+    11: ("x**11 - 55*x**9 + 990*x**7 - 6930*x**5 + 17325*x**3 - 10395*x", "x**10 - 45*x**8 + 630*x**6 - 3150*x**4 + 4725*x**2 - 945", (0, 0.929, 1.876, 2.865, 3.936, 5.188)),
+}
+
+
+def _hermite_sql(n: int) -> str:
+    top, below, begin = _HERMITE[n]
+    roots = ", ".join(f"({float(b)})" for x in begin for b in {x, -x})
+    return f"""(WITH RECURSIVE newton(step, x) AS (
+      SELECT 0, CAST(x AS DOUBLE) FROM (VALUES {roots}) AS t(x)
+      UNION ALL SELECT step + 1, x - ({top}) / ({n} * ({below})) FROM newton WHERE step < 20)
+    SELECT {n} AS points, round(x, 10) + 0.0 AS node, round({math.factorial(n)} / ({n} * ({below})) ** 2, 10) AS weight FROM newton WHERE step = 20)"""
+
+
+@query(" UNION ALL ".join(map(_hermite_sql, _HERMITE)))
 def gauss_hermite(spark, sf):
     """Quadrature nodes and weights of a standard normal expectation."""
     from .functions.special import hermite_nodes
