@@ -8,7 +8,8 @@ import corpus_pipeline
 from stratagram.llm import secrets
 from stratagram.llm.common import WorkFolder, table
 
-from .test_operators import brute_components, brute_fingerprint, brute_hits, library_ids
+from .test_near_copies import brute_least
+from .test_operators import brute_hits, library_ids
 
 
 def test_stages(spark, sf):
@@ -24,11 +25,8 @@ def test_stages(spark, sf):
         if name == "quality_classifier":
             assert 0.5 * len(before) < len(after) <= len(before) and all(r in before for r in after)
         elif name == "simhash_near_dedup":
-            number = brute_components([brute_fingerprint(r["text"]) for r in before])
-            least = {}
-            for r, n in zip(before, number):
-                least[n] = min(r["doc_id"], least.get(n, r["doc_id"]))
-            assert sorted(r["doc_id"] for r in after) == sorted(least.values())
+            rows = sorted(before, key=lambda r: r["doc_id"])
+            assert sorted(r["doc_id"] for r in after) == sorted({rows[k]["doc_id"] for k in brute_least([r["text"] for r in rows])})
         elif name == "benchmark_decontamination":
             items = [tuple(r) for r in table(spark, sf, "benchmark").select("item_id", "text").collect()]
             assert sorted(r["doc_id"] for r in after) == sorted(r["doc_id"] for r in before if not brute_hits(r["text"], items)[1])
@@ -41,6 +39,7 @@ def test_stages(spark, sf):
             total = {}
             for r in after:
                 total[r["doc_id"]] = total.get(r["doc_id"], 0) + r["length"]
+                assert len(r["ids"]) == r["length"]
             assert total == {r["doc_id"]: len(library_ids(r["text"], 0)) for r in before}
 
 
@@ -56,6 +55,13 @@ def test_awkward_stage_inputs(spark, awkward):
     assert docs.count() > 0
 
 
+def test_stages_of_nothing(spark, empty):
+    docs = table(spark, empty, "documents")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = WorkFolder(spark, "test").materialise(stage(spark, docs, empty), "out")
+        assert docs.count() == 0
+
+
 def test_run_is_stages(spark, sf):
     rows = corpus_pipeline.run(spark, sf).collect()
     digest = hashlib.sha256(repr(sorted((r["doc_id"], r["piece"], r["ids_crc32"]) for r in rows)).encode()).hexdigest()
@@ -63,4 +69,4 @@ def test_run_is_stages(spark, sf):
     assert digest == hashlib.sha256(repr(sorted((r["doc_id"], r["piece"], r["ids_crc32"]) for r in again)).encode()).hexdigest()
 
 
-from .test_operators import awkward  # noqa: E402, F401
+from .test_operators import awkward, empty  # noqa: E402, F401
