@@ -302,6 +302,8 @@ def with_revisits(pages: DataFrame) -> DataFrame:
     marked = joined.select("page_id", "url", "html", "digest", (held & ~holds).alias("revisit"), F.when(held & ~holds, F.col("holder.page_id")).alias("refers_to"), held.alias("held"), (held & holds & (F.col("holder.twins") > 1)).alias("twin"))
     # Rows that equal their holder: one is the response.  They are the same, so their number is all that's needed.
     twins = large.join(holders.where("holder.twins > 1"), (F.col("digest") == F.col("same")) & F.col("page_id").eqNullSafe(F.col("holder.page_id")) & F.col("url").eqNullSafe(F.col("holder.url")), "left_semi")
+    if not twins.limit(1).count():  # pages move a second time only where rows repeat
+        return marked.drop("twin")
     one = rows.join(twins.select(F.col("digest").alias("same"), F.col("page_id").alias("own"), F.col("url").alias("at"), "twins"), (F.col("digest") == F.col("same")) & F.col("page_id").eqNullSafe(F.col("own")) & F.col("url").eqNullSafe(F.col("at")))
     one = one.groupBy("digest", "page_id", "url", "twins").agg(F.first("html").alias("html"))
     copies = one.select("page_id", "url", "html", "digest", F.explode(F.sequence(F.lit(1).cast("long"), "twins")).alias("k")).repartition("digest", "k")
