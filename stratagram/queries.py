@@ -137,6 +137,45 @@ def contrast_test(spark, sf):
     return m.test_contrast(rows).to_df(spark).select(_r(F.col("f_value"), 4).alias("f_value"), "num_df")
 
 
+@query(_TWO + " SELECT term, 1.0::DOUBLE AS num_df, (n-3)::DOUBLE AS den_df, round(f, 3) AS f_value FROM (SELECT 'l_quantity' AS term, n, b1*b1*(s11*s22-s12*s12)/s22/s2 AS f FROM f UNION ALL SELECT 'l_discount', n, b2*b2*(s11*s22-s12*s12)/s11/s2 FROM f)")
+def anova_marginal(spark, sf):
+    """Type II: each term after the other."""
+    m = linear.lm("l_extendedprice ~ l_quantity + l_discount", _t(spark, sf, "lineitem"))
+    return m.anova(anova_type="II").to_df(spark).select("term", "num_df", "den_df", _r(F.col("f_value"), 3).alias("f_value"))
+
+
+@query(_TWO + " SELECT 2.0::DOUBLE AS num_df, (n-3)::DOUBLE AS den_df, round((b1*s1y + b2*s2y)/2/s2, 3) AS f_value FROM f")
+def joint_hypothesis(spark, sf):
+    """Both slopes at once."""
+    m = linear.lm("l_extendedprice ~ l_quantity + l_discount", _t(spark, sf, "lineitem"))
+    return m.linear_hypothesis_terms(["l_quantity", "l_discount"]).to_df(spark).select("num_df", "den_df", _r(F.col("f_value"), 3).alias("f_value"))
+
+
+@query("SELECT 'l_quantity' AS name, round(sum(l_quantity*l_extendedprice)/sum(l_quantity*l_quantity), 4) AS estimate FROM lineitem")
+def lm_through_origin(spark, sf):
+    return _coefficients(spark, linear.lm("l_extendedprice ~ 0 + l_quantity", _t(spark, sf, "lineitem")), 4)
+
+
+@query("SELECT '(Intercept)' AS name, round(regr_intercept(l_extendedprice, l_quantity*l_discount), 3) AS estimate FROM lineitem UNION ALL SELECT 'l_quantity:l_discount', round(regr_slope(l_extendedprice, l_quantity*l_discount), 3) FROM lineitem")
+def lm_product(spark, sf):
+    return _coefficients(spark, linear.lm("l_extendedprice ~ l_quantity:l_discount", _t(spark, sf, "lineitem")), 3)
+
+
+@query(_TWO + " SELECT '(Intercept)' AS name, round(b0, 3) AS estimate FROM f UNION ALL SELECT 'l_quantity', round(b1, 3) FROM f UNION ALL SELECT 'l_discount', round(b2, 3) FROM f")
+def lm_all_columns(spark, sf):
+    """The dot: every other column of the table."""
+    return _coefficients(spark, linear.lm("l_extendedprice ~ .", _t(spark, sf, "lineitem").select("l_extendedprice", "l_quantity", "l_discount")), 3)
+
+
+@query("""WITH b AS (SELECT regr_intercept(l_extendedprice, l_quantity) AS b0, regr_slope(l_extendedprice, l_quantity) AS b1 FROM lineitem),
+r AS (SELECT l_extendedprice - b0 - b1*l_quantity AS r FROM lineitem, b), n AS (SELECT r, row_number() OVER (ORDER BY r) - 1 AS k, count(*) OVER () AS n FROM r)
+SELECT CASE k WHEN 0 THEN 0 WHEN n//4 THEN 1 WHEN n//2 THEN 2 WHEN 3*n//4 THEN 3 ELSE 4 END AS quarter, round(r, 4) AS residual FROM n WHERE k IN (0, n//4, n//2, 3*n//4, n-1)""")
+def residual_five_numbers(spark, sf):
+    df = _t(spark, sf, "lineitem")
+    five = linear.lm("l_extendedprice ~ l_quantity", df).residual_summary(df)
+    return spark.createDataFrame([(k, round(float(v), 4)) for k, v in enumerate(five)], "quarter int, residual double")
+
+
 # ------------------------------------------------------------- projections
 
 
@@ -254,6 +293,62 @@ def lmm_new_levels(spark, sf):
     return model.predict_conditional(new, allow_new_levels=True).select("s_suppkey", _r(F.col("prediction"), 5).alias("prediction"))
 
 
+_PAIRS = [(0.1, 0.02), (0.5, 0.1), (1.0, 0.0), (0.0, 0.3)]
+
+
+@query(
+    _LINE
+    + """, g AS (SELECT l_suppkey AS g, count(*)::DOUBLE AS n, sum(l_quantity) AS sx, sum(price) AS sy, sum(l_quantity*l_quantity) AS sxx, sum(l_quantity*price) AS sxy, sum(price*price) AS syy FROM li GROUP BY 1),
+t(t0, t1) AS (VALUES (0.1::DOUBLE, 0.02::DOUBLE), (0.5, 0.1), (1.0, 0.0), (0.0, 0.3)),
+d AS (SELECT *, 1+t0*t0*n AS p, t0*t1*sx AS q, 1+t1*t1*sxx AS r FROM g, t),
+e AS (SELECT *, p*r-q*q AS det, t0*n AS u0, t1*sx AS u1, t0*sx AS v0, t1*sxx AS v1, t0*sy AS w0, t1*sxy AS w1 FROM d),
+s AS (SELECT t0, t1, sum(n) AS nn, sum(ln(det)) AS logdet, sum(n - (r*u0*u0 - 2*q*u0*u1 + p*u1*u1)/det) AS a00, sum(sx - (r*u0*v0 - q*(u0*v1+u1*v0) + p*u1*v1)/det) AS a01, sum(sxx - (r*v0*v0 - 2*q*v0*v1 + p*v1*v1)/det) AS a11,
+ sum(sy - (r*u0*w0 - q*(u0*w1+u1*w0) + p*u1*w1)/det) AS b0, sum(sxy - (r*v0*w0 - q*(v0*w1+v1*w0) + p*v1*w1)/det) AS b1, sum(syy - (r*w0*w0 - 2*q*w0*w1 + p*w1*w1)/det) AS c FROM e GROUP BY t0, t1),
+f AS (SELECT *, c - (a11*b0*b0 - 2*a01*b0*b1 + a00*b1*b1)/(a00*a11-a01*a01) AS rss FROM s)
+SELECT t0, t1, round(nn*(ln(2*pi()*rss/nn)+1) + logdet, 2) AS deviance FROM f"""
+)
+def lmm_profile_uncorrelated(spark, sf):
+    """Deviance with an intercept and a slope a supplier that don't correlate."""
+    g = linear.prepare_lmer("price ~ l_quantity + (1 + l_quantity || l_suppkey)", _lineitem(spark, sf)).gram
+    return spark.createDataFrame([(a, b, round(lmm.deviance(g, [a, b], False), 2)) for a, b in _PAIRS], "t0 double, t1 double, deviance double")
+
+
+_AT = """sum(n) AS nn, sum(ln(1+theta*theta*n)) AS logdet, sum(n - theta*theta*n*n/(1+theta*theta*n)) AS a00, sum(sx - theta*theta*n*sx/(1+theta*theta*n)) AS a01, sum(sxx - theta*theta*sx*sx/(1+theta*theta*n)) AS a11,
+ sum(sy - theta*theta*n*sy/(1+theta*theta*n)) AS b0, sum(sxy - theta*theta*sx*sy/(1+theta*theta*n)) AS b1, sum(syy - theta*theta*sy*sy/(1+theta*theta*n)) AS c"""
+
+
+def _best(reml: bool) -> str:
+    """SQL up to f: the fit at the theta of least deviance, by a grid of 41 that narrows eightfold each step."""
+    free, more = ("(nn-2)", " + ln(a00*a11-a01*a01)") if reml else ("nn", "")
+    rss = "(c - (a11*b0*b0 - 2*a01*b0*b1 + a00*b1*b1)/(a00*a11-a01*a01))"
+    return (
+        _LINE.replace("WITH ", "WITH RECURSIVE ")
+        + f""", m AS (SELECT avg(l_quantity) AS mx, avg(price) AS my FROM li),
+g AS (SELECT l_suppkey AS g, count(*)::DOUBLE AS n, sum(l_quantity-mx) AS sx, sum(price-my) AS sy, sum((l_quantity-mx)*(l_quantity-mx)) AS sxx, sum((l_quantity-mx)*(price-my)) AS sxy, sum((price-my)*(price-my)) AS syy FROM li, m GROUP BY 1),
+best(step, mid, width) AS (SELECT 0, 1.0::DOUBLE, 1.0::DOUBLE UNION ALL
+ SELECT any_value(step)+1, arg_min(theta, {free}*ln({rss}/{free}) + logdet{more}), any_value(width)/8 FROM (SELECT step, width, theta, {_AT} FROM g, (SELECT step, width, greatest(0.0, mid + width*k/20.0) AS theta FROM best, range(-20, 21) r(k) WHERE step < 8) GROUP BY step, width, theta) HAVING count(*) > 0),
+s AS (SELECT theta, {_AT} FROM g, (SELECT mid AS theta FROM best WHERE step = 8) GROUP BY theta),
+f AS (SELECT *, {rss} AS rss, a00*a11-a01*a01 AS det, (a11*b0-a01*b1)/(a00*a11-a01*a01) AS e0, (a00*b1-a01*b0)/(a00*a11-a01*a01) AS e1 FROM s)"""
+    )
+
+
+@query(_best(True) + " SELECT round(theta, 3) AS theta, round(my + e0 - e1*mx, 4) AS intercept, round(e1, 6) AS slope, round(sqrt(rss/(nn-2)*a00/det), 6) AS slope_se, round(rss/(nn-2), 4) AS sigma2, round((nn-2)*(ln(2*pi()*rss/(nn-2))+1) + logdet + ln(det), 3) AS deviance FROM f, m")
+def lmer_fitted_reml(spark, sf):
+    return _fitted(spark, sf, True)
+
+
+@query(_best(False) + " SELECT round(theta, 3) AS theta, round(my + e0 - e1*mx, 4) AS intercept, round(e1, 6) AS slope, round(sqrt(rss/nn*a00/det), 6) AS slope_se, round(rss/nn, 4) AS sigma2, round(nn*(ln(2*pi()*rss/nn)+1) + logdet, 3) AS deviance FROM f, m")
+def lmer_fitted_ml(spark, sf):
+    return _fitted(spark, sf, False)
+
+
+def _fitted(spark, sf, reml):
+    """A fit by its own search for theta."""
+    m = linear.lmer("price ~ l_quantity + (1 | l_suppkey)", _lineitem(spark, sf), reml=reml)
+    row = [round(float(v), k) for v, k in ((m.theta[0], 3), (m.coefficients[0], 4), (m.coefficients[1], 6), (m.beta_se[1], 6), (m.sigma2, 4), (m.deviance, 3))]
+    return spark.createDataFrame([tuple(row)], "theta double, intercept double, slope double, slope_se double, sigma2 double, deviance double")
+
+
 @query()
 def lmer_random_slopes(spark, sf):
     m = linear.lmer("price ~ l_quantity + (1 + l_quantity | l_suppkey)", _lineitem(spark, sf))
@@ -290,10 +385,10 @@ def profile_intervals(spark, sf):
     return m.confint(method="profile", which="all").to_df(spark)
 
 
-@query()
+@query(_best(True) + ", r AS (SELECT 'l_quantity' AS name, e1 AS estimate, sqrt(rss/(nn-2)*a00/det) AS std_error FROM f UNION ALL SELECT '(Intercept)', my + e0 - e1*mx, sqrt(rss/(nn-2)*(a11 + 2*mx*a01 + mx*mx*a00)/det) FROM f, m) SELECT name, round(estimate, 4) AS estimate, round(std_error, 4) AS std_error FROM r")
 def lmer_distributed(spark, sf):
     m = linear.lmer("price ~ l_quantity + (1 | l_suppkey)", _lineitem(spark, sf), distributed_profile=True)
-    return m.coefficient_table(spark)
+    return m.coefficient_table(spark).select("name", _r(F.col("estimate"), 4).alias("estimate"), _r(F.col("std_error"), 4).alias("std_error"))
 
 
 # ------------------------------------------------------- families and links
@@ -426,6 +521,24 @@ def emmeans_factor(spark, sf):
 _SEG = "WITH m AS (SELECT c_mktsegment AS seg, avg(c_acctbal) AS mean FROM customer GROUP BY 1)"
 
 
+_ANCOVA = """WITH m AS (SELECT c_mktsegment AS seg, avg(c_acctbal) AS my, avg(c_nationkey) AS mx FROM customer GROUP BY 1), a AS (SELECT avg(c_nationkey) AS mx FROM customer),
+w AS (SELECT sum((c_nationkey-mx)*(c_acctbal-my))/sum((c_nationkey-mx)*(c_nationkey-mx)) AS b FROM customer JOIN m ON seg = c_mktsegment),
+e AS (SELECT seg, m.my + b*(a.mx - m.mx) AS mean FROM m, a, w)"""
+
+
+@query(_ANCOVA + " SELECT seg AS level, round(mean, 5) AS estimate FROM e")
+def emmeans_covariate(spark, sf):
+    """Means of the segments at the mean of a covariate."""
+    df = _t(spark, sf, "customer")
+    return linear.lm("c_acctbal ~ c_mktsegment + c_nationkey", df).emmeans("c_mktsegment", df).to_df(spark).select("level", _r(F.col("estimate"), 5).alias("estimate"))
+
+
+@query(_ANCOVA + " SELECT a.seg || ' - ' || b.seg AS comparison, round(a.mean - b.mean, 5) AS estimate FROM e a JOIN e b ON a.seg < b.seg")
+def emmeans_pairwise(spark, sf):
+    df = _t(spark, sf, "customer")
+    return linear.lm("c_acctbal ~ c_mktsegment + c_nationkey", df).emmeans_pairs("c_mktsegment", df).to_df(spark).select("comparison", _r(F.col("estimate"), 5).alias("estimate"))
+
+
 @query(_SEG + " SELECT b.seg || ' - ' || a.seg AS comparison, round(b.mean - a.mean, 5) AS estimate FROM m a JOIN m b ON a.seg < b.seg")
 def glht_tukey(spark, sf):
     m = linear.lm("c_acctbal ~ c_mktsegment", _t(spark, sf, "customer"))
@@ -463,10 +576,13 @@ def wald_interval(spark, sf):
 # ---------------------------------------------------------------- resampling
 
 
-@query("SELECT event_type, round(quantile_cont(value, 0.025), 6) AS lower, round(quantile_cont(value, 0.5), 6) AS middle, round(quantile_cont(value, 0.975), 6) AS upper FROM events GROUP BY 1")
+@query("SELECT name, round(lo, 6) AS lower, round(hi, 6) AS upper FROM (SELECT 'a' AS name, quantile_cont(value, 0.025) AS lo, quantile_cont(value, 0.975) AS hi FROM events UNION ALL SELECT 'b', quantile_cont(sqrt(value), 0.025), quantile_cont(sqrt(value), 0.975) FROM events UNION ALL SELECT 'sigma2', quantile_cont(value*value, 0.025), quantile_cont(value*value, 0.975) FROM events)")
 def percentile_intervals(spark, sf):
-    q = F.percentile("value", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))
-    return _t(spark, sf, "events").groupBy("event_type").agg(q.alias("q")).select("event_type", *[_r(F.col("q")[k]).alias(n) for k, n in enumerate(("lower", "middle", "upper"))])
+    """The interval of replicates, here the events' values and their root and square."""
+    v = F.col("value")
+    draws = _t(spark, sf, "events").select(F.lit(0).alias("index"), F.array(v, F.sqrt(v)).alias("coefficients"), F.array().cast("array<double>").alias("theta"), (v * v).alias("sigma2"), F.lit(True).alias("converged"))
+    ci = resample.BootResult("parametric", 0, ["a", "b"], [], [0.0, 0.0], [], 0.0, draws).confint(which="all")
+    return ci.to_df(spark).select("name", _r(F.col("lower")).alias("lower"), _r(F.col("upper")).alias("upper"))
 
 
 @query(
