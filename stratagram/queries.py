@@ -420,7 +420,14 @@ for _name in _SQL_LINKS:
     _link_query(_name)
 
 
-@query()
+def _normal_sql(x: str) -> str:
+    """The normal distribution function by its series in odd powers over double factorials."""
+    return f"(0.5 + exp(-({x})*({x})/2)/sqrt(2*pi())*list_sum(list_transform(range(0, 100), lambda k: ({x})*power(({x})*({x})/2, k)*sqrt(pi())/2/gamma(k+1.5))))"
+
+
+@query(f"""WITH RECURSIVE v AS (SELECT event_type, value, count(*) AS n FROM events GROUP BY 1, 2),
+root(step, value, x) AS (SELECT 0, value, 0.0::DOUBLE FROM (SELECT DISTINCT value FROM v) UNION ALL SELECT step+1, value, x - ({_normal_sql("x")} - value/500.0)*sqrt(2*pi())*exp(x*x/2) FROM root WHERE step < 30)
+SELECT event_type, round(sum(n*x)/sum(n), 6) AS eta, round(sum(n*{_normal_sql("value/100.0")})/sum(n), 6) AS mu, round(sum(n*exp(-value*value/20000)/sqrt(2*pi()))/sum(n), 6) AS slope FROM v JOIN root USING (value) WHERE step = 30 GROUP BY 1""")
 def link_probit(spark, sf):
     df, lk = _t(spark, sf, "events"), LINKS["probit"]
     u, e = F.col("value") / 500.0, F.col("value") / 100.0
