@@ -85,8 +85,13 @@ class Gram:
             xi = np.array([keep[a][0][other.factors[a].labels[x]] for x in oi], dtype=int)
             xj = np.array([keep[b][0][other.factors[b].labels[x]] for x in oj], dtype=int)
             ii, jj, z = np.concatenate([ii, xi]), np.concatenate([jj, xj]), np.concatenate([z, sign * oz])
+            # A pair that both tables have is one entry, as the kernels need it.
+            pairs, entry = np.unique(np.stack([ii, jj], axis=1), axis=0, return_inverse=True)
+            total = np.zeros((len(pairs), *z.shape[1:]))
+            np.add.at(total, entry.ravel(), z)
+            ii, jj = pairs.T
             ok = keep[a][1][ii] & keep[b][1][jj]
-            cross[(a, b)] = (keep[a][2][ii[ok]], keep[b][2][jj[ok]], z[ok])
+            cross[(a, b)] = (keep[a][2][ii[ok]], keep[b][2][jj[ok]], total[ok])
         return Gram(self.names, self.n + sign * other.n, self.t + sign * other.t, factors, cross, self.layout)
 
 
