@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..plans.design import ModelError, analyze
 from . import linear
-from .gram import Factor, Gram, _pairs, _product, design_rows, factors_of
+from .gram import MOST_GROUPS, Factor, Gram, _pairs, _product, design_rows, factors_of
 from .kernels import lmm
 from .model import FittedModel
 
@@ -164,7 +164,7 @@ def glmer_distributed(formula: str, df: DataFrame, family: str, link: str | None
 
     Every iteration is one pass over the stored distinct rows: linear
     predictor, weights and working responses are expressions beside a join
-    with the effects so far; sums by group come back.
+    with the effects so far; sums by group come back, so groups are limited.
     """
     import pandas as pd
 
@@ -186,7 +186,10 @@ def glmer_distributed(formula: str, df: DataFrame, family: str, link: str | None
     table, e = generalized.compress(df, design, weights)
     rows, spark, f = table.persist(), df.sparkSession, factors[0]
     n, k, p = int(rows.agg(F.sum("rows")).first()[0]), len(f.effects), len(e.x)
-    f.labels = sorted((r["g0"] for r in rows.select("g0").distinct().toLocalIterator()), key=lambda s: s.encode())
+    f.labels = sorted((r["g0"] for r in rows.select("g0").distinct().limit(MOST_GROUPS + 1).toLocalIterator()), key=lambda s: s.encode())
+    if len(f.labels) > MOST_GROUPS:
+        rows.unpersist()
+        raise ModelError(f"over {MOST_GROUPS} groups: their sums come to the driver at every iteration")
     index = pd.Index(f.labels)
     y = F.col(f"u{e.y}")
     pairs = sorted(_pairs(e.x + e.z[0], e.x + e.z[0]))

@@ -7,6 +7,7 @@ import math
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -147,8 +148,8 @@ class FittedModel:
 
     def ranef(self, spark: SparkSession) -> DataFrame:
         """(grouping, group, effect, value)."""
-        rows = [(":".join(f.group), v, e, float(b[i, j])) for f, labels, b in zip(self.factors, self.labels, self.b) for j, e in enumerate(f.effects) for i, v in enumerate(labels)]
-        return spark.createDataFrame(rows, "grouping string, group string, effect string, value double")
+        parts = [pa.table({"grouping": pa.repeat(":".join(f.group), len(labels)), "group": pa.array(labels, pa.string()), "effect": pa.repeat(e, len(labels)), "value": b[:, j]}) for f, labels, b in zip(self.factors, self.labels, self.b) for j, e in enumerate(f.effects)]
+        return spark.createDataFrame(pa.concat_tables(parts)) if parts else spark.createDataFrame([], "grouping string, group string, effect string, value double")
 
     def var_corr_rows(self) -> list[tuple]:
         rows = []
@@ -189,7 +190,7 @@ class FittedModel:
         spark, eta, added = df.sparkSession, F.lit(0.0), []
         for i, f in enumerate(self.factors):
             names = [f"__b{i}_{j}" for j in range(len(f.effects))]
-            table = spark.createDataFrame([(v, *map(float, row)) for v, row in zip(self.labels[i], self.b[i])], ", ".join([f"__g{i} string", *[f"{n} double" for n in names]]))
+            table = spark.createDataFrame(pa.table({f"__g{i}": pa.array(self.labels[i], pa.string())} | {n: self.b[i][:, j] for j, n in enumerate(names)}))
             table = F.broadcast(table) if len(self.labels[i]) <= BROADCAST_ROWS else table
             key = group_key(f.group)
             df = df.withColumn(f"__k{i}", key).join(table, F.col(f"__k{i}") == F.col(f"__g{i}"), "left")

@@ -160,11 +160,11 @@ def _boot_lmm(model: FittedModel, data: DataFrame, nsim: int, method: str, seed:
             out.append((np.arange(nsim), np.full(nsim, -1), [""] * nsim, total))
             for f in range(nf):
                 labels, code = np.unique(np.asarray(b.column(at[f"g{f}"]).to_pylist(), dtype=object), return_inverse=True)
-                one = np.zeros((len(labels), len(w)))
-                one[code, np.arange(len(w))] = 1.0
+                order = np.argsort(code, kind="stable")
+                begin = np.searchsorted(code[order], np.arange(len(labels)))
                 sums = np.zeros((nsim, len(labels), width))
                 for j, i in enumerate(zs[f]):
-                    sums[:, :, j] = (yw * u[i]) @ one.T
+                    sums[:, :, j] = np.add.reduceat((yw * u[i])[:, order], begin, axis=1)
                 out.append((np.repeat(np.arange(nsim), len(labels)), np.full(nsim * len(labels), f), list(labels) * nsim, sums.reshape(-1, width)))
             for rep, factor, label, v in out:
                 yield pa.RecordBatch.from_arrays([pa.array(rep, pa.int32()), pa.array(factor, pa.int32()), pa.array(label, pa.string()), *[pa.array(v[:, j].copy()) for j in range(width)]], names=["rep", "factor", "label", *[f"v{j}" for j in range(width)]])
