@@ -8,8 +8,9 @@ its share of that.  Equal texts have equal digests.
 
 Null text counts as empty; texts too short for a window have all counts zero.
 Repeated rows are kept; ties of doc_id are ordered by text hash and text; null
-doc_ids come last in descending order.  An empty table gives no rows.  Other
-columns are ignored.
+doc_ids come last in descending order.  Very long texts are counted whole, a
+chunk of windows at a time.  An empty table gives no rows.  Other columns are
+ignored.
 """
 
 from __future__ import annotations

@@ -7,8 +7,9 @@ Readers take stripes in parallel (a split per stripe) and skip files, stripes
 and row groups that can't hold a wanted doc_id.
 
 Null text counts as empty (the end id alone).  Null doc_id sorts first.  Rows
-that share a doc_id are all kept, ordered by text hash and text.  An empty
-table gives files without rows.  Other columns of the input are ignored.
+that share a doc_id are all kept, ordered by text hash and text.  Very long
+texts are encoded whole.  An empty table gives files without rows.  Other
+columns of the input are ignored.
 """
 
 from __future__ import annotations
