@@ -6,6 +6,7 @@ import warnings
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +29,19 @@ def compress(df: DataFrame, design: Design, weights: str | None = None, response
     return rows.groupBy(*keys).agg(F.sum("w").alias("w"), F.count("*").alias("rows")), e
 
 
+def pool(table: DataFrame, e, fam: families.Family) -> DataFrame:
+    """Rows of ``compress`` that differ in the response alone as one: their weighted mean, and their deviance about it.
+
+    A family's deviance from any mean is that of the mean response plus the deviance about it, so no fit changes.
+    """
+    y, weighed = f"u{e.y}", F.col("w") * F.col(f"u{e.y}")
+    keys = [c for c in table.columns if c not in (y, "w", "rows")]
+    # Gamma: twice the weight times the log of the mean, less the logs' sum.
+    mean = F.when(F.sum("w") > 0, F.try_divide(F.sum(weighed), F.sum("w"))).otherwise(F.avg(y))
+    pooled = table.groupBy(*keys).agg(F.sum("w").alias("w"), F.sum("rows").alias("rows"), mean.alias(y), F.sum(F.col("w") * F.log(y)).alias("logs"))
+    return pooled.withColumn("within", F.greatest(2.0 * (F.col("w") * F.log(y) - F.col("logs")), F.lit(0.0))).drop("logs")
+
+
 def _validate(df: DataFrame, design: Design, fam: families.Family, weights: str | None, response: Column | None) -> None:
     y = response if response is not None else number(design.response)
     low, high, itself = fam.valid
@@ -39,21 +53,36 @@ def _validate(df: DataFrame, design: Design, fam: families.Family, weights: str
         raise ModelError(f"a response that family {fam.name} doesn't allow")
 
 
-def patterns(df: DataFrame, design: Design, fam: families.Family, weights: str | None = None, response: Column | None = None) -> glmm.Patterns:
+def patterns(df: DataFrame, design: Design, fam: families.Family, weights: str | None = None, response: Column | None = None, pooled: bool = True) -> glmm.Patterns:
+    """``pooled``: of gamma models, responses that agree in all else come as their mean."""
     factors, layout = factors_of(design)
     table, e = compress(df, design, weights, response)
-    pdf = table.limit(MOST_PATTERNS + 1).toPandas()
-    if len(pdf) > MOST_PATTERNS:
+    if pooled := pooled and fam.name == "gamma":
+        table = pool(table, e, fam)
+    # As Arrow: a Python row for each pattern would be many times as large.
+    got = table.limit(MOST_PATTERNS + 1).toArrow()
+    if got.num_rows > MOST_PATTERNS:
         raise ModelError(f"more than {MOST_PATTERNS} distinct rows; fit with distributed=True")
-    u = pdf[[f"u{i}" for i in range(len(e.columns))]].to_numpy(float)
-    groups = []
+    column = lambda name: got[name].to_numpy().astype(float, copy=False)
+    u = np.stack([column(f"u{i}") for i in range(len(e.columns))], axis=1)
+    rows, groups = column("rows"), []
     for i, f in enumerate(factors):
-        labels, where = np.unique(pdf[f"g{i}"].to_numpy(str), return_inverse=True)
-        f.labels, f.n = labels.tolist(), np.bincount(where, pdf["rows"].to_numpy(float))
+        f.labels, where = _numbered(got[f"g{i}"])
+        f.n = np.bincount(where, rows)
         groups.append(where)
-    n = int(pdf["rows"].sum())
-    w = pdf["w"].to_numpy(float)
-    return glmm.Patterns(u[:, e.x].reshape(len(u), len(e.x)), u[:, e.y], w, pdf["off"].to_numpy(float), groups, [u[:, z] for z in e.z], factors, layout, design.names, n)
+    within = float(column("within").sum()) if pooled else 0.0
+    return glmm.Patterns(u[:, e.x].reshape(len(u), len(e.x)), u[:, e.y], column("w"), column("off"), groups, [u[:, z] for z in e.z], factors, layout, design.names, int(rows.sum()), within)
+
+
+def _numbered(keys) -> tuple[list, np.ndarray]:
+    """The distinct keys in order, and each row's number among them."""
+    coded = keys.combine_chunks().dictionary_encode()
+    coded = coded if isinstance(coded, pa.DictionaryArray) else coded.combine_chunks()
+    labels = coded.dictionary.to_pylist()
+    order = sorted(range(len(labels)), key=labels.__getitem__)
+    number = np.empty(len(labels), dtype=np.int64)
+    number[order] = np.arange(len(labels))
+    return [labels[k] for k in order], number[coded.indices.to_numpy()]
 
 
 @dataclass

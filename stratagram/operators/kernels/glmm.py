@@ -8,7 +8,7 @@ compression, done in Spark before anything reaches the driver.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 
@@ -48,6 +48,7 @@ class Patterns:
     layout: list
     names: list
     n: int
+    within: float = 0.0  # deviance of the rows about their pattern's response
 
     def gram(self, w, z_response) -> Gram:
         xy = np.concatenate([self.x, z_response[:, None]], axis=1)
@@ -117,9 +118,9 @@ def pirls(d: Patterns, fam: Family, lk: Link, theta, phi: float = 1.0, start: St
         if abs(old - pwrss) / (pwrss + 0.1) < 1e-10:
             out = State()
             out.beta, out.u, out.b, out.eta, out.mu, out.w = beta, u, b, eta, mu, w
-            out.dev = float(fam.deviance(d.y, mu, d.w, NUMPY).sum())
+            out.dev = float(fam.deviance(d.y, mu, d.w, NUMPY).sum()) + d.within
             out.penalty, out.logdet, out.phi, out.sol, out.gram, out.theta = penalty, sol.logdet, phi, sol, gram, theta
-            fit_term = fam.aic(d.y, mu, d.w, out.dev) - 2 if fam.dispersion else out.dev
+            fit_term = fam.aic(d.y, mu, d.w, out.dev, d.within) - 2 if fam.dispersion else out.dev
             out.deviance = fit_term + sol.logdet + penalty
             return out
         old = pwrss
@@ -155,7 +156,7 @@ def quadrature(d: Patterns, fam: Family, lk: Link, s: State, nodes: int) -> floa
     x, w = hermite_nodes(nodes)
     base = d.x @ s.beta + d.offset
     dev = lambda eta: fam.deviance(d.y, lk.inverse(eta, NUMPY), d.w, NUMPY) / s.phi
-    fit0 = (fam.aic(d.y, s.mu, d.w, s.dev) - 2 if fam.dispersion else s.dev) - s.dev / s.phi
+    fit0 = (fam.aic(d.y, s.mu, d.w, s.dev, d.within) - 2 if fam.dispersion else s.dev) - (s.dev - d.within) / s.phi
     if by_group:
         f, g, lam = d.factors[0], d.groups[0], s.sol.lam[0]
         m = len(f.labels)
@@ -195,7 +196,7 @@ def refine(d: Patterns, fam: Family, lk: Link, theta, s: State, nodes: int = 1):
 
     def at(v):
         beta = s.beta + v[k:] * se
-        held = Patterns(d.x[:, :0], d.y, d.w, d.offset + d.x @ beta, d.groups, d.z, d.factors, d.layout, [], d.n)
+        held = replace(d, x=d.x[:, :0], offset=d.offset + d.x @ beta, names=[])
         return beta, profile(held, fam, lk, v[:k], nodes)
 
     def f(v):

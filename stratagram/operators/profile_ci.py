@@ -8,6 +8,7 @@ theta_i sigma = s, or sigma itself.
 from __future__ import annotations
 
 import math
+from dataclasses import replace
 
 import numpy as np
 
@@ -145,7 +146,7 @@ def _glmm(model: FittedModel, level, parms, which, goal) -> ConfidenceIntervals:
             keep = [k for k in range(d.x.shape[1]) if k != j]
 
             def f(value, j=j, keep=keep):
-                fixed = glmm.Patterns(d.x[:, keep], d.y, d.w, d.offset + value * d.x[:, j], d.groups, d.z, d.factors, d.layout, [d.names[k] for k in keep], d.n)
+                fixed = replace(d, x=d.x[:, keep], offset=d.offset + value * d.x[:, j], names=[d.names[k] for k in keep])
                 return minimise_theta(lambda t: (lambda st: math.inf if st is None else st.deviance)(glmm.profile(fixed, model.family, model.link, t, nodes)), d.layout, model.theta if len(model.theta) > 1 else None)[1]
 
             lo, hi = _crossings(f, float(model.coefficients[j]), float(model.beta_se[j]), f(float(model.coefficients[j])) + goal)

@@ -199,9 +199,12 @@ def _boot_lmm(model: FittedModel, data: DataFrame, nsim: int, method: str, seed:
 
 def _boot_glmm(model: FittedModel, nsim: int, seed: int, spark: SparkSession) -> BootResult:
     """Replicates on the compressed rows; equal rows' sums are sufficient for binomial and Poisson."""
-    d: glmm.Patterns = model.extra["patterns"]
     if model.family.name == "gaussian":
         raise ModelError("no bootstrap of a gaussian generalized model")
+    d: glmm.Patterns = model.extra["patterns"]
+    if d.within:
+        # Draws of a mean response say nothing of the rows about it.
+        d = generalized.patterns(model.data, model.design, model.family, model.weights, pooled=False)
     eta = d.x @ model.coefficients + d.zb(model.b) + d.offset
     mu = model.link.inverse(eta, NUMPY)
     shared, fam, lk, sigma2 = spark.sparkContext.broadcast((d, mu)), model.family, model.link, model.sigma2 or 1.0
