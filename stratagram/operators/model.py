@@ -341,10 +341,7 @@ class FittedModel:
 
     def residual_summary(self, data: DataFrame | None = None) -> list[float]:
         """Order statistics at 0, n/4, n/2, 3n/4 and n-1 of the residuals."""
-        r = self.fitted(data).select("residual")
-        n = self.num_obs
-        got = r.agg(F.percentile("residual", F.array(*[F.lit(min(n - 1, k) / max(1, n - 1)) for k in (0, n // 4, n // 2, 3 * n // 4, n - 1)])).alias("q")).first()
-        return [float(v) for v in got["q"]]
+        return order_statistics(self.fitted(data).select(F.col("residual").cast("double").alias("v")), lambda n: (0, n // 4, n // 2, 3 * n // 4, n - 1))
 
     def coefficient_table(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame([(n, float(b), float(s), float(b / s)) for n, b, s in zip(self.fixed_names, self.coefficients, self.beta_se)], "name string, estimate double, std_error double, statistic double")
@@ -369,5 +366,64 @@ class FittedModel:
         return cls(design=design, factors=factors, layout=layout, family=fam, link=lk, **arrays, **lists, **d)
 
 
+#: Parts of a range whose rows are counted in one pass, and distinct values that the driver sorts.
+PARTS, FEW = 4096, 20_000
+
+
+def order_statistics(rows: DataFrame, ranks) -> list[float]:
+    """The values of ``rows`` (v; nulls don't count) at ``ranks`` (a function of their number; from 0), exactly, without a sort.
+
+    Each pass counts the rows in equal parts of the ranges that hold a rank, with each part's least and largest value,
+    until a part has one value or few.  Infinities and NaN (last) come by their counts.
+    """
+    v, inf = F.col("v"), float("inf")
+    finite = F.when(~F.isnan(v) & (F.abs(v) < inf), v)
+    n, low, high, below, inside = rows.agg(F.count("v"), F.min(finite), F.max(finite), F.count_if(v == -inf), F.count(finite)).first()
+    above = rows.where(v == inf).count() if n > below + inside else 0
+    if not n:
+        return [math.nan for _ in ranks(0)]
+    found, open_ = {}, {}
+    for k in set(ranks(n)):
+        if below <= k < below + inside:
+            open_.setdefault((low, high, below), set()).add(k)
+        else:
+            found[k] = -inf if k < below else inf if k < below + inside + above else math.nan
+    while open_:
+        again: dict = {}
+        for (a, b, before), wanted in open_.items():
+            if a == b:
+                found |= dict.fromkeys(wanted, a)
+        spans = [s for s in open_ if s[0] < s[1]]
+        if not spans:
+            break
+        # Halves, since the whole range may be more than a double holds.
+        part = F.lit(None).cast("int")
+        for i, (a, b, _) in enumerate(spans):
+            share = (v / 2.0 - a / 2.0) / max(b / 2.0 - a / 2.0, 5e-324)
+            part = F.when((v >= a) & (v <= b), i * PARTS + F.least(F.floor(share * PARTS), F.lit(PARTS - 1)).cast("int")).otherwise(part)
+        counts = rows.select("v", part.alias("part")).where("part IS NOT NULL").groupBy("part").agg(F.count("*").alias("n"), F.min("v").alias("a"), F.max("v").alias("b")).collect()
+        counts = sorted((r["part"], r["n"], r["a"], r["b"]) for r in counts)
+        small = []
+        for i, span in enumerate(spans):
+            at = span[2]
+            for _, m, a, b in (c for c in counts if c[0] // PARTS == i):
+                inner = {k for k in open_[span] if at <= k < at + m}
+                if inner and (a == b or m > FEW):
+                    again.setdefault((a, b, at), set()).update(inner)
+                elif inner:
+                    small.append((a, b, at, inner))
+                at += m
+        if small:
+            held = F.lit(False)
+            for a, b, *_ in small:
+                held = held | v.between(a, b)
+            values = np.sort(np.array([r["v"] for r in rows.where(held).collect()], float))
+            for a, _, at, inner in small:
+                first = int(np.searchsorted(values, a))
+                found |= {k: float(values[first + k - at]) for k in inner}
+        open_ = again
+    return [float(found[k]) for k in ranks(n)]
+
+
 def normal_p(z: float) -> float:
     return special.norm_two_sided(z)
