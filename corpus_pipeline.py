@@ -2,8 +2,8 @@
 
 ``run`` writes each stage as Parquet in the shared folder and reads it again
 for the next, so a lost executor costs part of a stage at most.  The stage of
-near duplicates bears its place's name, but links documents by the Jaccard
-similarity of five-word shingles, not by SimHash's bits; the README says why.
+near duplicates takes SimHash's links and those of min-hash bands as candidates
+and decides by the Jaccard similarity of five-word shingles; the README says why.
 
 Null and empty texts stay or go by their score in the first stage, one of all
 that are left stays in the second, and the others keep it.  Repeated rows share

@@ -1,11 +1,13 @@
-"""Near copies by exact Jaccard similarity of word shingles, for the pipeline's stage.
+"""Near copies by SimHash and an exact check of word shingles, for the pipeline's stage.
 
-Two documents are linked if their sets of five-word shingles have a Jaccard
-similarity of 0.8 or more.  Such pairs differ in up to 17 of SimHash's 64 bits,
-more than a covering code can reach, so candidates come from min-hash bands: a
+SimHash is op6's: fingerprints of four-word shingles, linked within four bits
+by the covering code.  Its components are candidates.  Two documents are linked
+if their sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+Such pairs differ in up to 17 of SimHash's 64 bits, more than a covering code
+can reach, so min-hash bands add the candidates that it leaves out: a
 pair at 0.8 shares none of the ``BANDS`` bands once in 3 million, a pair above
-it more seldom.  Documents that share a band are joined to coarse groups, and
-within a coarse group every link is decided by the sets themselves.
+it more seldom.  Documents of a SimHash component or a band are joined to coarse
+groups, and within a coarse group every link is decided by the sets themselves.
 
 Only distinct sets take part, so exact copies cost nothing.  A coarse group of
 over ``HOT`` sets is dealt into chunks, each with the group's pivots; what the
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import WorkFolder, documents_only, give_back
-from .simhash import AT_ONCE, SEED, components, firsts, shingle_hashes
+from .simhash import AT_ONCE, SEED, components, fingerprint, firsts, reach, shingle_hashes
 
 WORDS = 5
 #: Similarity is at least NEAR[0] / NEAR[1].
@@ -68,10 +70,12 @@ def _prints(batches):
     for b in batches:
         texts = b.column(3).cast(pa.binary())
         for at in range(0, b.num_rows, AT_ONCE):
-            sets = [shingle_set(raw or b"") for raw in texts.slice(at, AT_ONCE).to_pylist()]
+            raws = [raw or b"" for raw in texts.slice(at, AT_ONCE).to_pylist()]
+            sets = [shingle_set(raw) for raw in raws]
+            bits = np.array([fingerprint(raw) for raw in raws], dtype=np.uint64).view(np.int64)
             fps = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in sets], dtype=np.uint64).view(np.int64)
             keys = pa.array([band_keys(h).tobytes() for h in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([*[c.slice(at, AT_ONCE) for c in b.columns[:3]], pa.array(fps), keys], names=["doc_id", "h1", "h2", "fp", "keys"])
+            yield pa.RecordBatch.from_arrays([*[c.slice(at, AT_ONCE) for c in b.columns[:3]], pa.array(fps), pa.array(bits), keys], names=["doc_id", "h1", "h2", "fp", "bits", "keys"])
         del b, texts
         pa.default_memory_pool().release_unused()
 
@@ -88,6 +92,13 @@ def _bands(batches):
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(part.column(0).to_numpy(), BANDS))], names=["key", "fp"])
 
 
+def covered(prints: DataFrame, folder: WorkFolder) -> DataFrame:
+    """(key, fp) of ``prints`` (fp, bits): sets whose SimHash fingerprints reach each other within four bits have one key."""
+    marks = folder.materialise(prints.select("fp", "bits").distinct(), "marks")
+    roots = reach(folder.materialise(marks.select(F.col("bits").alias("fp")).distinct(), "bits"), WorkFolder(prints.sparkSession, "simhash"))
+    return marks.join(roots, F.col("bits") == F.col("node"), "left").select(F.coalesce("root", "bits").alias("key"), "fp")
+
+
 def _stars(batches):
     """Rows sorted by (key, fp): each fp with the first of its key."""
     was, first = None, None
@@ -204,8 +215,8 @@ def near_copies(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """(doc_id, h1, h2, fp, first), rows that agree in doc_id and text once: ``first`` is the (doc_id, h1, h2) of the component's first row, ``again`` says that the row occurs more than once; fp names the set."""
     folder = WorkFolder(docs.sparkSession, "jaccard")
     rows = _named(documents_only(docs, "doc_id", "text")).select("doc_id", *_ROW, "text")
-    prints = folder.materialise(rows.mapInArrow(_prints, "doc_id long, h1 long, h2 long, fp long, keys binary"), "prints")
-    bands = prints.select("fp", "keys").mapInArrow(_bands, "key long, fp long")
+    prints = folder.materialise(rows.mapInArrow(_prints, "doc_id long, h1 long, h2 long, fp long, bits long, keys binary"), "prints")
+    bands = covered(prints, folder).unionByName(prints.select("fp", "keys").mapInArrow(_bands, "key long, fp long"))
     coarse = components(bands.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_stars, "a long, b long"), WorkFolder(docs.sparkSession, "coarse"))
     rows = folder.materialise(prints.groupBy("fp", "doc_id", "h1", "h2").agg((F.count("*") > 1).alias("again")), "rows")
     folder.remove("prints")
@@ -239,7 +250,7 @@ def _apart(members: DataFrame, roots: DataFrame, hot: int) -> DataFrame:
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline: one document of each group stays, the one of the smallest doc_id."""
+    """Pipeline: SimHash's and the bands' candidates, checked by their sets; one document of each group stays, the one of the smallest doc_id."""
     found = near_copies(docs)
     first = (F.col("h1") == F.col("first.h1")) & (F.col("h2") == F.col("first.h2"))
     gone, again = found.where(~first), found.where(first & F.col("again"))

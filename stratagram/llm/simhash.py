@@ -307,8 +307,13 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, blocks: int | N
     prints = folder.materialise(fingerprints(docs, shingle), "prints")
     one = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("first"))
     one = folder.materialise(one, "distinct")
-    blocks = blocks or (BLOCKS if one.count() < MANY else 2)
-    return firsts(prints, one, components(links(one.select("fp"), threshold, blocks), folder))
+    return firsts(prints, one, reach(one.select("fp"), folder, threshold, blocks))
+
+
+def reach(fps: DataFrame, folder: WorkFolder, threshold: int = THRESHOLD, blocks: int | None = None) -> DataFrame:
+    """(node, root): the components of distinct fingerprints, stored."""
+    blocks = blocks or (BLOCKS if fps.count() < MANY else 2)
+    return components(links(fps, threshold, blocks), folder)
 
 
 def firsts(rows: DataFrame, one: DataFrame, roots: DataFrame) -> DataFrame:
