@@ -16,12 +16,15 @@ from ..functions.curves import CURVES, Curve, custom_curve
 from ..plans.design import ModelError, group_key, number
 from ..plans.formula import FormulaError
 from ..shipping import ship
+from . import spread
 from .kernels import nlmm
 
 _NAME = r"[A-Za-z_][A-Za-z0-9_]*"
 _THREE = re.compile(rf"\s*({_NAME})\s*~\s*(?:({_NAME})\s*\(\s*({_NAME}(?:\s*,\s*{_NAME})+)\s*\)|({_NAME}))\s*~\s*({_NAME}(?:\s*\+\s*{_NAME})*)\s*\|\s*({_NAME})\s*")
-#: Distinct (group, x) that the driver solves on.
+#: Distinct (group, x) that the driver solves on where it must: for quadrature and refined fits.
 MOST_POINTS = 3_000_000
+#: Beyond so many distinct (group, x) other fits leave them in Spark.
+MOST_LOCAL = 200_000
 
 
 @dataclass
@@ -153,11 +156,16 @@ class NonlinearModel:
         return "\n".join(lines + [f"  {n:<12}{v:14.6f}" for n, v in zip(self.fixed_names, self.coefficients)] + [f"sigma^2 {self.sigma2:.6f}"])
 
 
-def points(df: DataFrame, spec: NlFormula) -> nlmm.Points:
-    """Distinct (group, x) with count, mean and squares within: what normal errors need of the rows."""
+def point_rows(df: DataFrame, spec: NlFormula) -> DataFrame:
+    """(g, x, n, m, v): distinct (group, x) with count, mean and squares within: what normal errors need of the rows."""
     ship(df.sparkSession)
     rows = df.select(group_key((spec.group,)).alias("g"), number(spec.x).alias("x"), number(spec.response).alias("y"))
-    got = rows.groupBy("g", "x").agg(F.count("*").alias("n"), F.avg("y").alias("m"), (F.var_pop("y") * F.count("*")).alias("v")).limit(MOST_POINTS + 1).toPandas()
+    return rows.groupBy("g", "x").agg(F.count("*").alias("n"), F.avg("y").alias("m"), (F.var_pop("y") * F.count("*")).alias("v"))
+
+
+def points(df: DataFrame, spec: NlFormula, rows: DataFrame | None = None) -> nlmm.Points:
+    """The points on the driver; ``rows``: those of ``point_rows``, if they are at hand."""
+    got = (point_rows(df, spec) if rows is None else rows).limit(MOST_POINTS + 1).toArrow().to_pandas()
     if len(got) > MOST_POINTS:
         raise ModelError(f"more than {MOST_POINTS} distinct (group, x)")
     got = got.sort_values(["g", "x"], kind="stable")
@@ -178,32 +186,51 @@ def _fit(df, spec: NlFormula, curve: Curve, start, reml, n_agq, lower, upper, gr
     for given in (group_lower, group_upper):
         if set(given or {}) - set(spec.random):
             raise ModelError(f"group bounds are for random parameters {spec.random}")
-    data, names = points(df, spec), spec.parameters
+    names = spec.parameters
     lo, hi = _bounds(names, lower, -np.inf), _bounds(names, upper, np.inf)
     if (lo > hi).any():
         raise ModelError("a lower bound above its upper bound")
-    problem = nlmm.Problem(data, curve, [names.index(r) for r in spec.random], reml, lo, hi, _bounds(names, group_lower, -np.inf), _bounds(names, group_upper, np.inf))
-    if start:
-        if set(start) - set(names):
-            raise ModelError(f"start values for {sorted(set(start) - set(names))}; the parameters are {names}")
-        base = curve.self_start(data.x, data.y)
-        starts = [[float(start.get(n, base[k])) for k, n in enumerate(names)]]
-    else:
-        # The pooled curve by ordinary least squares from its own start, and that start.
-        own = curve.self_start(data.x, data.y)
-        try:
-            pooled = nlmm.nls(curve, data.x, data.y, own)["parameters"]
-        except (ValueError, np.linalg.LinAlgError):
-            pooled = own
-        starts = [pooled, own] if np.all(np.isfinite(pooled)) else [own]
+    random, own_lo, own_hi = [names.index(r) for r in spec.random], _bounds(names, group_lower, -np.inf), _bounds(names, group_upper, np.inf)
     used = nlmm.grid_order(n_agq, len(spec.random), nlmm.MOST_GRID)
     if used < n_agq:
         warnings.warn(f"n_agq={n_agq} has too many points for {len(spec.random)} random parameters; {f'order {used} was used' if used > 1 else 'the fit is Laplace'}", stacklevel=3)
-    found = nlmm.fit(problem, starts, n_agq)
+    # Each group is in one partition, in the order that tasks need.
+    rows = point_rows(df, spec).repartition("g").sortWithinPartitions("g", "x").persist()
+    try:
+        many, n, within = rows.agg(F.count("*"), F.sum("n"), F.sum("v")).first()
+        if many > MOST_LOCAL and used == 1 and not refine:
+            by_x = rows.groupBy("x").agg(F.avg("m").alias("m"), F.count("*").alias("n")).limit(MOST_POINTS + 1).toArrow().sort_by("x")
+            if by_x.num_rows > MOST_POINTS:
+                raise ModelError(f"more than {MOST_POINTS} distinct x")
+            problem = spread.Spread(rows, curve, random, int(n), float(within), reml, lo, hi, own_lo, own_hi)
+            theta, beta, sigma2, dev, count, ok = spread.fit(problem, _starts(curve, names, start, *[by_x[c].to_numpy() for c in ("x", "m", "n")]))
+            labels, b = problem.effects(nlmm.triangle(theta, len(random)), beta)
+            return NonlinearModel(spec.text, spec, curve, beta, theta, b, labels, sigma2, dev, int(n), reml, ok, count, df)
+        data = points(df, spec, rows)
+    finally:
+        rows.unpersist()
+    problem = nlmm.Problem(data, curve, random, reml, lo, hi, own_lo, own_hi)
+    found = nlmm.fit(problem, _starts(curve, names, start, data.x, data.y), n_agq)
     theta, beta, b, sigma2, dev, n, ok = nlmm.refine(problem, found, n_agq) if refine else found
     return NonlinearModel(spec.text, spec, curve, beta, theta, b, data.labels, sigma2, dev, data.n, reml, ok, n, df)
 
 
+def _starts(curve: Curve, names: list, start: dict | None, x, y, weights=None) -> list:
+    """Where fits begin; ``weights``: the points behind each (x, y)."""
+    if start:
+        if set(start) - set(names):
+            raise ModelError(f"start values for {sorted(set(start) - set(names))}; the parameters are {names}")
+        base = curve.self_start(x, y)
+        return [[float(start.get(n, base[k])) for k, n in enumerate(names)]]
+    # The pooled curve by ordinary least squares from its own start, and that start.
+    own = curve.self_start(x, y)
+    try:
+        pooled = nlmm.nls(curve, x, y, own, weights=weights)["parameters"]
+    except (ValueError, np.linalg.LinAlgError):
+        pooled = own
+    return [pooled, own] if np.all(np.isfinite(pooled)) else [own]
+
+
 def nlmer(formula: str, df: DataFrame, start: dict | None = None, reml: bool = False, n_agq: int = 1, lower=None, upper=None, group_lower=None, group_upper=None, refine: bool = False) -> NonlinearModel:
     """``refine``: fixed effects at the least deviance together with theta, not those of penalised least squares."""
     spec = parse_nlmer(formula)
